@@ -188,7 +188,11 @@ def band(value: Column, edges: Sequence[float], labels: Sequence[str], missing:
 
 def keyed_digest(seed: str | int, *parts: Column) -> Column:
     """sha256 hex of ``seed|part|part...``; the only source of randomness in the package."""
-    return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
+    return keyed_digest_of(F.lit(str(seed)), *parts)
+
+
+def keyed_digest_of(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
 def digest_int(digest: Column, start: int, digits: int = 15) -> Column:

@@ -115,3 +115,21 @@ def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), out: st
     return ranked.select(
         *groups, value, "ties", (F.col("_upto") - (F.col("ties") - 1) / F.lit(2.0)).cast("double").alias(out)
     )
+
+
+def hash_cuts(df: DataFrame, digest: str, targets: DataFrame, groups: Sequence[str], label: str) -> DataFrame:
+    """Digest of the k-th row of each group in digest order, for every ``(groups, label, k)`` line of ``targets``.
+
+    Comparing a row's digest with its cut replaces ranking all rows: only the one bucket in 4,096 that holds the
+    k-th row is sorted. A target of zero has no cut.
+    """
+    bucketed = df.select(*groups, digest, F.substring(digest, 1, 3).alias("_bucket"))
+    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = bucketed.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    wanted = counts.join(targets.filter("k > 0"), list(groups)).filter("_before < k AND k <= _before + _n").select(
+        *groups, label, "_bucket", (F.col("k") - F.col("_before")).alias("_nth"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(digest)
+    near = bucketed.join(wanted.select(*groups, "_bucket").distinct(), [*groups, "_bucket"], "left_semi")
+    ranked = near.withColumn("_rank", F.row_number().over(inside))
+    return ranked.join(wanted, [*groups, "_bucket"]).filter("_rank = _nth").select(*groups, label, F.col(digest).alias("cut"))
