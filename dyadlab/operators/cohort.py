@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, hash_cuts, hash_rank
 from dyadlab.operators.pairs import SIDE, UNIT, pair_wide
+from dyadlab.session import cut
 
 N = S.number
 DEVELOPMENT, HOLDOUT = "development", "final_holdout"
@@ -113,7 +114,7 @@ def inner_folds(outer: DataFrame, stratum: str = "state", folds: int = 5, inner:
 
 def fold_manifest(units: DataFrame, stratum: str = "state", folds: int = 5, inner: int = 3, outer_seed: int = 20260901, inner_seed: int = 20260902) -> DataFrame:
     """Long manifest: one line per unit and outer fold; the inner fold is null where the unit is assessed."""
-    outer = outer_folds(units, stratum, folds, outer_seed)
+    outer = cut(outer_folds(units, stratum, folds, outer_seed))
     inside = inner_folds(outer, stratum, folds, inner, inner_seed)
     grid = outer.withColumn("assessed", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     return grid.join(inside.select(UNIT, "assessed", "inner_fold"), [UNIT, "assessed"], "left")

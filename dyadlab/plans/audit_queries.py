@@ -128,10 +128,11 @@ def duplicate_rows(spark, folder):
     return A.duplicate_rows(rows, ["unit_id", "anatomy", "device"])
 
 
-@query("full_row_duplicates", "SELECT role, COUNT(*) AS repeated_rows, CAST(SUM(n) AS BIGINT) AS members FROM (SELECT role, text, turn, COUNT(*) AS n FROM conversations GROUP BY role, text, turn HAVING COUNT(*) > 1) GROUP BY role")
+@query("full_row_duplicates", "SELECT lang, COUNT(*) AS repeated_rows, CAST(SUM(n) AS BIGINT) AS members FROM (SELECT lang, text, n_chars, COUNT(*) AS n FROM documents GROUP BY lang, text, n_chars HAVING COUNT(*) > 1) GROUP BY lang")
 def full_row_duplicates(spark, folder):
-    keyed = table(spark, folder, "conversations").select("role", "turn", F.sha2("text", 256).alias("digest"))
-    return A.duplicate_keys(keyed, ["role", "turn", "digest"]).groupBy("role").agg(F.count("*").alias("repeated_rows"), F.sum("row_count").alias("members"))
+    """Rows equal in everything but the id; long text is compared by digest."""
+    keyed = table(spark, folder, "documents").select("lang", "n_chars", F.sha2("text", 256).alias("digest"))
+    return A.duplicate_keys(keyed, ["lang", "n_chars", "digest"]).groupBy("lang").agg(F.count("*").alias("repeated_rows"), F.sum("row_count").alias("members"))
 
 
 @query("duplicate_content_groups", """WITH g AS (SELECT SHA256(text) AS digest, COUNT(*) AS members, MIN('doc/' || doc_id || '.txt') AS first_member FROM documents GROUP BY 1 HAVING COUNT(*) > 1)
