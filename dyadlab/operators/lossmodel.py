@@ -73,10 +73,9 @@ def side_design(own: np.ndarray, partner: np.ndarray, indicators: np.ndarray, kn
 
 @dataclass
 class LossModel:
-    """Coefficients over ``DESIGN`` (partner columns zero in the baseline) for raw spline columns."""
+    """Coefficients over ``DESIGN`` (zero for columns not in the model) for raw spline columns."""
 
     alpha: float
-    augmented: bool
     target: str
     beta: np.ndarray
 
@@ -89,18 +88,19 @@ def cross_products(design: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return (full.T @ full).ravel()
 
 
-def solve(products: np.ndarray, augmented: bool, target: str, alpha: float) -> LossModel:
-    """Ridge with an unpenalised intercept; spline columns are standardised (population SD, constant -> scale one)."""
+def solve(products: np.ndarray, columns: Sequence[str], target: str, alpha: float) -> LossModel:
+    """Ridge with an unpenalised intercept on any subset of the design columns; spline columns are standardised
+    (population SD, constant -> scale one)."""
     width = len(DESIGN) + len(TARGETS)
     g = products.reshape(width, width)
     n = g[0, 0]
-    names = design_columns(augmented)
-    at = np.array([DESIGN.index(c) for c in names])
+    names = list(columns)
+    at = np.array([DESIGN.index(c) for c in names], dtype=int)
     y = len(DESIGN) + TARGETS.index(target)
     mean, mean_y = g[0, at] / n, g[0, y] / n
     centred = g[np.ix_(at, at)] - n * np.outer(mean, mean)
     with_y = g[at, y] - n * mean * mean_y
-    spline = np.array(["spline" in c for c in names])
+    spline = np.array(["spline" in c for c in names], dtype=bool)
     sd = np.sqrt(np.maximum(np.diag(centred) / n, 0.0))
     scale = np.where(spline & (sd > 1e-12 * (1 + np.abs(mean))), sd, 1.0)
     a = centred / np.outer(scale, scale) + alpha * np.eye(len(at))
@@ -108,7 +108,7 @@ def solve(products: np.ndarray, augmented: bool, target: str, alpha: float) -> L
     beta = np.zeros(len(DESIGN))
     beta[at] = w
     beta[0] = mean_y - w @ mean
-    return LossModel(alpha, augmented, target, beta)
+    return LossModel(alpha, target, beta)
 
 
 def side_values(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

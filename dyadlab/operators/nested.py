@@ -154,7 +154,7 @@ def run_nested(pairs: DataFrame, plan: Plan) -> NestedResult:
         return (c["set_code"] == k // width) & (c["fold"] >= 0) & (c["fold"] != left)
 
     products = _fit_products(frame, knots, member)
-    models = {(k, t, m, a): L.solve(products[k], m == "r1", t, a) for k in products for t, m in SELECTION for a in plan.alphas}
+    models = {(k, t, m, a): L.solve(products[k], L.design_columns(m == "r1"), t, a) for k in products for t, m in SELECTION for a in plan.alphas}
 
     def trial_errors(c: Columns) -> dict[int, np.ndarray]:
         own_z, partner_z, flags = L.side_values(c)
@@ -271,7 +271,7 @@ def fit_final(result: NestedResult, plan: Plan) -> FrozenStack:
         w, b = result.heads[(i, 0, strength)].raw()  # training set 0: all units
         heads.append((e, strength, [float(v) for v in w], b))
         for t, m in SELECTION:
-            model = L.solve(products[i], m == "r1", t, float(choice[(e, f"alpha_{t}_{m}")]))
+            model = L.solve(products[i], L.design_columns(m == "r1"), t, float(choice[(e, f"alpha_{t}_{m}")]))
             losses.append((e, t, m, model.alpha, [float(v) for v in knots[i]], list(L.design_columns(m == "r1")), [float(v) for v in model.beta]))
     return FrozenStack(
         spark.createDataFrame(heads, "endpoint string, strength double, coefficients array<double>, intercept double"), fitted,
@@ -303,5 +303,5 @@ def score_frozen(pairs: DataFrame, stack: FrozenStack, plan: Plan) -> DataFrame:
     for r in stack.losses.collect():  # endpoints x targets x models lines
         s = plan.endpoints.index(r["endpoint"])
         knots[s] = np.array(r["knots"])
-        models[(s, r["target"], r["model"])] = L.LossModel(r["alpha"], r["model"] == "r1", r["target"], np.array(r["beta"]))
+        models[(s, r["target"], r["model"])] = L.LossModel(r["alpha"], r["target"], np.array(r["beta"]))
     return _prediction_rows(frame, lambda c: _predict_pairs(c, lambda s, t, m: models[(s, t, m)], lambda s: knots[s]), ["endpoint", "outer_fold", "strength", "method"])

@@ -330,13 +330,13 @@ CASES = {"highest_loss": ("observed_loss", True), "largest_improvement": ("contr
 @query("case_audit", UNITS_SQL + ", k AS (" + " UNION ALL ".join(
     f"SELECT *, '{rule}' AS rule, ROW_NUMBER() OVER (PARTITION BY endpoint ORDER BY {c} {'DESC' if d else 'ASC'}, CAST(unit_id AS VARCHAR)) AS rank FROM contrib"
     for rule, (c, d) in CASES.items()) + """)
-SELECT k.endpoint, rule, CAST(rank AS INTEGER) AS rank, SHA256('CASE_AUDIT|' || k.unit_id) AS unit_key, p.state, ROUND(observed_loss, 8) AS observed_loss, ROUND(risk_r0, 8) AS risk_r0, ROUND(risk_r1, 8) AS risk_r1,
+SELECT k.endpoint, rule, CAST(rank AS INTEGER) AS rank, SHA256('CASE_AUDIT|' || k.unit_id) AS unit_key, p.state, ROUND(observed_loss, 10) AS observed_loss, ROUND(risk_r0, 8) AS risk_r0, ROUND(risk_r1, 8) AS risk_r1,
   ROUND(contribution, 8) AS contribution FROM k JOIN pair p ON k.unit_id = p.unit_id AND k.endpoint = p.endpoint WHERE rank <= 10""")
 def case_audit(spark, folder):
     rows = predictions(spark, folder)
     state = F.when(F.col("side") == 1, S.pair_state(F.col("label"), F.col("partner_label"))).otherwise(S.pair_state(F.col("partner_label"), F.col("label")))
     units = K.unit_risks(rows.withColumn("state", state), "nll", ["endpoint", "state"])  # a unit has one state
-    return rounded(R.top_units(units.drop("unit_rows"), CASES))
+    return rounded(R.top_units(units.drop("unit_rows"), CASES), observed_loss=10)
 
 
 @query("out_of_sample_r2", ROWS_SQL + """, m AS (SELECT endpoint, AVG(nll) AS mu FROM pred GROUP BY endpoint)
