@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from dyadlab.operators.lockstep import minimise
 from dyadlab.operators.sums import Columns, grouped_sums, map_columns
+from dyadlab.session import cut
 
 STRENGTHS = (0.01, 0.1, 1.0, 10.0)
 
@@ -74,7 +75,8 @@ def fit_heads(df: DataFrame, sets: Sequence[TrainingSet], endpoints: int, streng
     """Minimise C * sum(log loss) + |w|^2 / 2 for every task; ``df`` holds outer_fold, inner, x_r, x_l, y_r, y_l."""
     moments = feature_moments(df, sets)
     tasks: list[Task] = [(e, k, float(c)) for k in range(len(sets)) for e in range(endpoints) for c in strengths]
-    narrow = df.select("outer_fold", "inner", "x_r", "x_l", "y_r", "y_l")
+    narrow = cut(df.select("outer_fold", "inner", "x_r", "x_l", "y_r", "y_l"))  # read once per pass
+    width = narrow.rdd.getNumPartitions()
     p = len(moments[0][1])
 
     def evaluate(points):
@@ -106,7 +108,7 @@ def fit_heads(df: DataFrame, sets: Sequence[TrainingSet], endpoints: int, streng
             return out
 
         results = {}
-        for t, v in grouped_sums(narrow, compute).items():
+        for t, v in grouped_sums(narrow, compute, width).items():
             _, k, strength = tasks[t]
             rows, mean, scale = moments[k]
             w = points[t][:p]

@@ -47,9 +47,8 @@ def with_folds(pairs: DataFrame, plan: Plan) -> DataFrame:
     """Attach outer and inner folds; strata are the states of the first endpoint."""
     state = S.pair_state(F.col("y_r")[0], F.col("y_l")[0])
     manifest = fold_manifest(pairs.select(UNIT, state.alias("state")), "state", plan.folds, plan.inner, plan.outer_seed, plan.inner_seed)
-    packed = manifest.groupBy(UNIT).agg(
-        F.max("outer_fold").alias("outer_fold"),
-        F.transform(F.sort_array(F.collect_list(F.struct("assessed", F.coalesce("inner_fold", F.lit(-1)).alias("f")))), lambda s: s["f"]).alias("inner"))  # `folds` entries
+    own = lambda o: F.coalesce(F.max(F.when(F.col("assessed") == o, F.col("inner_fold"))), F.lit(-1))
+    packed = manifest.groupBy(UNIT).agg(F.max("outer_fold").alias("outer_fold"), F.array(*[own(o) for o in range(plan.folds)]).alias("inner"))
     return cut(pairs.join(packed, UNIT))
 
 

@@ -17,8 +17,9 @@ from dyadlab.operators.pairs import UNIT
 from dyadlab.session import shuffle_width
 
 N = S.number
-BROADCAST_ROWS = 1_000_000  # values up to here (about 32 MB) are looked up map-side; above, draws are joined by shuffle
+BROADCAST_ROWS = 1_000_000  # this many values (about 32 MB) are looked up map-side; above, draws are joined by shuffle
 DRAWS_PER_DIGEST, DIGITS = 4, 15
+LANE = 16  # keys of equal size that share their draws
 CHUNK = 1 << 14  # digests made from one exploded line
 
 
@@ -41,18 +42,36 @@ def draws(sizes: DataFrame, keys: Sequence[str], replicates: int, seeds: Sequenc
     four = F.array(*[
         F.when(F.col("_block") * DRAWS_PER_DIGEST + m < F.col("n"), S.digest_int(F.col("_digest"), 1 + DIGITS * m, DIGITS) % F.col("n"))
         for m in range(DRAWS_PER_DIGEST)])
-    return hashed.select(*keys, "seed", "replicate", F.explode(F.array_compact(four)).alias("pos"))
+    return hashed.select(*keys, "seed", "replicate", F.explode(four).alias("pos")).filter("pos IS NOT NULL")
 
 
 def bootstrap_means(values: DataFrame, value: str, replicates: int, seeds: Sequence[int], keys: Sequence[str] = ("endpoint",)) -> DataFrame:
-    """Mean of ``value`` in each replicate of each key; sampling n of n units with replacement."""
+    """Mean of ``value`` in each replicate of each key; sampling n of n units with replacement.
+
+    Keys with the same number of units share their draws (a draw depends on seed, replicate and position only): their
+    values sit side by side in one lookup line, so each draw is hashed and joined once for up to ``LANE`` keys.
+    """
+    spark = values.sparkSession
     indexed = positions(values.select(*keys, UNIT, value), [UNIT], keys).select(*keys, "pos", "group_rows", value)
-    sizes = indexed.groupBy(*keys).agg(F.max("group_rows").alias("n"))
-    sampled = draws(sizes, keys, replicates, seeds)
-    lookup = indexed.drop("group_rows")
-    if lookup.count() <= BROADCAST_ROWS:
+    types = {f.name: f.dataType.simpleString() for f in indexed.schema}
+    groups = indexed.groupBy(*keys).agg(F.max("group_rows").alias("n")).orderBy("n", *keys).collect()  # one line per key
+    seen: dict[int, int] = {}
+    lines = []
+    for g in groups:
+        i = seen.get(g["n"], 0)
+        seen[g["n"]] = i + 1
+        lines.append((*[g[k] for k in keys], g["n"], i // LANE, i % LANE))
+    seats = F.broadcast(spark.createDataFrame(lines, ", ".join(f"{k} {types[k]}" for k in keys) + ", size bigint, lane int, slot int"))
+    width = max(x[-1] for x in lines) + 1 if lines else 1
+    lanes = sorted({(x[-3], x[-2]) for x in lines})
+    lookup = indexed.join(seats, list(keys)).groupBy("size", "lane", "pos").agg(*[F.max(F.when(F.col("slot") == i, F.col(value))).alias(f"v{i}") for i in range(width)])
+    if sum(n for n, _ in lanes) * width <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    return sampled.join(lookup, [*keys, "pos"]).groupBy(*keys, "seed", "replicate").agg(F.avg(value).alias("mean"))
+    sizes = spark.createDataFrame([(n, lane, n) for n, lane in lanes], "size bigint, lane int, n bigint")
+    sampled = draws(sizes, ["size", "lane"], replicates, seeds)
+    means = sampled.join(lookup, ["size", "lane", "pos"]).groupBy("size", "lane", "seed", "replicate").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(width)])
+    long = means.select("size", "lane", "seed", "replicate", F.posexplode(F.array(*[f"v{i}" for i in range(width)])).alias("slot", "mean"))
+    return long.join(seats, ["size", "lane", "slot"]).select(*keys, "seed", "replicate", "mean")
 
 
 def diagnostics(values: DataFrame, means: DataFrame, value: str, keys: Sequence[str] = ("endpoint",)) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, positions, quantiles_of
 from dyadlab.operators.pairs import UNIT
+from dyadlab.session import cut
 
 N = S.number
 
@@ -198,7 +199,7 @@ def top_share(units: DataFrame, measure: Column, total: str, out: str, fraction:
 
 def influence(units: DataFrame) -> DataFrame:
     """How far single units move the contrast. Leave-one-out means come from the total in closed form."""
-    units = units.select("endpoint", UNIT, "observed_loss", "contribution", F.abs("contribution").alias("_abs"))
+    units = cut(units.select("endpoint", UNIT, "observed_loss", "contribution", F.abs("contribution").alias("_abs")))  # read by four passes
     x = F.col("contribution")
     basic = units.groupBy("endpoint").agg(
         F.count("*").alias("units"), F.avg(x).alias("delta"), F.min(x).alias("min_contribution"), F.max(x).alias("max_contribution"),
@@ -226,6 +227,7 @@ TAIL_CUTS = (0.5, 0.9, 0.95, 0.99)
 
 def loss_tail(units: DataFrame) -> DataFrame:
     """Contrast in bands (low, high] of the unit's observed loss; an empty band still appears."""
+    units = cut(units)
     names = [f"c{i}" for i in range(len(TAIL_CUTS))]
     cuts = exact_quantiles(units, "observed_loss", dict(zip(names, TAIL_CUTS)), ["endpoint"])
     chain = F

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.lossmodel import BASIS, KNOTS, spline_basis
 from dyadlab.operators.ordering import exact_quantiles
-from dyadlab.operators.pairs import UNIT
+from dyadlab.operators.pairs import UNIT, pair_wide
 from dyadlab.operators.risk import asymmetry, square
 from dyadlab.operators.sums import Columns, grouped_sums
 
@@ -105,13 +105,11 @@ def contrast_units(rows: DataFrame, second_device: str) -> DataFrame:
     y = F.col("nll")
     state = F.when(F.col("side") == 1, S.pair_state(F.col("label"), F.col("partner_label"))).otherwise(S.pair_state(F.col("partner_label"), F.col("label")))
     mixed = S.flag(F.col("device") != F.col("partner_device"))
-    x = F.array(N(1), *[S.flag(state == s) for s in OTHER_STATES],
-                *S.indicator_columns(F.col("q1"), F.col("q2"), F.col("side"), F.col("device"), second_device).values(), mixed)
+    x = [N(1), *[S.flag(state == s) for s in OTHER_STATES], *S.indicator_columns(F.col("q1"), F.col("q2"), F.col("side"), F.col("device"), second_device).values(), mixed]
     d = square(y - F.col("predicted_nll_r0")) - square(y - F.col("predicted_nll_r1"))
-    flat = F.concat(x, F.array(d))
-    side = F.col("side")
-    return rows.select("endpoint", UNIT, "side", flat.alias("_x")).groupBy("endpoint", UNIT).agg(
-        F.first(F.when(side == 1, F.col("_x")), ignorenulls=True).alias("x_r"), F.first(F.when(side == 2, F.col("_x")), ignorenulls=True).alias("x_l"))
+    flat = {f"x{i}": c for i, c in enumerate([*x, d])}  # scalars, so that pairing stays a hash aggregation
+    wide = pair_wide(rows.select("endpoint", UNIT, "side", *[c.alias(n) for n, c in flat.items()]), list(flat), ["endpoint"])
+    return wide.select("endpoint", UNIT, *[F.array(*[f"{n}_{s}" for n in flat]).alias(f"x_{s}") for s in "rl"])
 
 
 def gee_exchangeable(units: DataFrame, iterations: int = 60) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +118,7 @@ def gee_exchangeable(units: DataFrame, iterations: int = 60) -> tuple[DataFrame,
     products; the data are read once to get them and once for the sandwich."""
     spark = units.sparkSession
     endpoints = sorted(r[0] for r in units.select("endpoint").distinct().collect())
-    coded = cut_units = units.withColumn("code", F.array_position(F.array(*map(F.lit, endpoints)), F.col("endpoint")).cast("int") - 1).select("code", "x_r", "x_l")
+    coded = units.withColumn("code", F.array_position(F.array(*map(F.lit, endpoints)), F.col("endpoint")).cast("int") - 1).select("code", "x_r", "x_l")
     p = len(GEE_TERMS)
     w = p + 1
 
@@ -138,7 +136,7 @@ def gee_exchangeable(units: DataFrame, iterations: int = 60) -> tuple[DataFrame,
         return out
 
     fits = {}
-    for k, v in grouped_sums(cut_units, first).items():
+    for k, v in grouped_sums(coded, first).items():
         n = int(v[0])
         rows, totals = v[1:1 + w * w].reshape(w, w), v[1 + w * w:].reshape(w, w)
         alpha, beta = 0.0, None

@@ -29,8 +29,9 @@ def batch_columns(batch: pa.RecordBatch) -> Columns:
     return out
 
 
-def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Add up ``compute(batch)[fit]`` over the table, per fit number."""
+def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarray]], tasks: int | None = None) -> dict[int, np.ndarray]:
+    """Add up ``compute(batch)[fit]`` over the table, per fit number. ``tasks`` is the table's partition count where the
+    caller knows it: few partitions need no second level."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
@@ -45,9 +46,10 @@ def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarra
     def add(column):
         return F.aggregate(column, F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b)))
 
-    partial = df.mapInArrow(run, "fit int, stats array<double>").withColumn("bucket", F.spark_partition_id() % FAN_IN)
-    first = partial.groupBy("fit", "bucket").agg(add(F.collect_list("stats")).alias("stats"))
-    return {r["fit"]: np.asarray(r["stats"]) for r in first.groupBy("fit").agg(add(F.collect_list("stats")).alias("stats")).collect()}
+    partial = df.mapInArrow(run, "fit int, stats array<double>")
+    if tasks is None or tasks > FAN_IN:
+        partial = partial.groupBy("fit", (F.spark_partition_id() % FAN_IN).alias("bucket")).agg(add(F.collect_list("stats")).alias("stats"))
+    return {r["fit"]: np.asarray(r["stats"]) for r in partial.groupBy("fit").agg(add(F.collect_list("stats")).alias("stats")).collect()}
 
 
 def map_columns(df: DataFrame, compute: Callable[[Columns], Columns], keep: list[str], schema: str) -> DataFrame:

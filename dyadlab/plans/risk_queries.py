@@ -11,6 +11,7 @@ from dyadlab.operators import ranking as R
 from dyadlab.operators import risk as K
 from dyadlab.plans.registry import query
 from dyadlab.plans.views import ENDPOINTS, FIRST_DEVICE, PAIRS_SQL, ROWS_SQL, SECOND_DEVICE, UNITS_SQL, pair_predictions, predictions
+from dyadlab.session import cut
 
 RISK_SQL = """COUNT(*) AS units, AVG(observed_loss) AS mean_observed_loss, AVG(risk_r0) AS risk_r0, AVG(risk_r1) AS risk_r1,
   AVG(contribution) AS delta, AVG(CASE WHEN contribution > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) AS positive_fraction"""
@@ -267,7 +268,7 @@ sel AS (SELECT cv.endpoint, MAX(e / k) FILTER (WHERE k = GREATEST(1, CEIL(0.9 *
 SELECT a.endpoint, errors, ROUND(aurc, 7) AS aurc, ROUND(s90, 7) AS selective_risk_90, ROUND(s80, 7) AS selective_risk_80, ROUND(s70, 7) AS selective_risk_70,
   ROUND(area / positives / negatives, 7) AS auroc, ROUND(steps / positives, 7) AS average_precision FROM a JOIN n ON a.endpoint = n.endpoint JOIN sel ON a.endpoint = sel.endpoint""")
 def error_detection(spark, folder):
-    rows = predictions(spark, folder)
+    rows = cut(predictions(spark, folder).select("endpoint", "unit_id", "side", "label", "predicted_class", "predicted_nll_r1"))
     curve = R.risk_coverage(rows, error_column(), "predicted_nll_r1")
     detect = R.binary_ranking(rows.withColumn("error", error_column()), F.col("error"), "predicted_nll_r1").drop("positives", "negatives")
     return rounded(R.coverage_summary(curve).join(detect, "endpoint"), 7)
@@ -285,7 +286,8 @@ def risk_coverage_curve(spark, folder):
     for c, n in (("nll", "o"), ("predicted_nll_r0", "p0"), ("predicted_nll_r1", "p1"))) + """ FROM pred)
 SELECT endpoint, ROUND(CORR(o, p0), 7) AS spearman_r0, ROUND(CORR(o, p1), 7) AS spearman_r1, ROUND(CORR(o, p1) - CORR(o, p0), 7) AS difference FROM r GROUP BY endpoint""")
 def spearman(spark, folder):
-    table = R.spearman(predictions(spark, folder), "nll", ["predicted_nll_r0", "predicted_nll_r1"])
+    rows = cut(predictions(spark, folder).select("endpoint", "unit_id", "side", "nll", "predicted_nll_r0", "predicted_nll_r1"))
+    table = R.spearman(rows, "nll", ["predicted_nll_r0", "predicted_nll_r1"])
     return rounded(table.withColumn("difference", F.col("spearman_r1") - F.col("spearman_r0")), 7)
 
 
@@ -300,7 +302,7 @@ bins AS (SELECT e.endpoint, CAST(r AS INTEGER) AS bin, COALESCE(n, 0) AS count,
 @query("reliability_bins", ROWS_SQL + EDGES_SQL + """SELECT endpoint, bin, count, ROUND(lower_edge, 7) AS lower_edge, ROUND(upper_edge, 7) AS upper_edge,
   ROUND(mp, 7) AS mean_probability, ROUND(obs, 7) AS observed_rate FROM bins""")
 def reliability_bins(spark, folder):
-    rows = predictions(spark, folder)
+    rows = cut(predictions(spark, folder).select("endpoint", "prob", "label"))
     return rounded(R.reliability_bins(rows, R.equal_frequency_edges(rows)), 7)
 
 
@@ -311,7 +313,7 @@ ECE_SQL = """SELECT endpoint, CAST(SUM(count) AS BIGINT) AS rows, MIN(count) AS
 
 @query("equal_frequency_ece", ROWS_SQL + EDGES_SQL + ECE_SQL.format(thin="", why="", bins="bins"))
 def equal_frequency_ece(spark, folder):
-    rows = predictions(spark, folder)
+    rows = cut(predictions(spark, folder).select("endpoint", "prob", "label"))
     return rounded(R.calibration_error(R.reliability_bins(rows, R.equal_frequency_edges(rows))), 7)
 
 
