@@ -53,7 +53,7 @@ def _fit(rows: DataFrame, keys: Sequence[str], methods: Sequence[str], eps: floa
         return out
 
     low, high = (np.array([SLOPE_BOUNDS[0], INTERCEPT_BOUNDS[0]]), np.array([SLOPE_BOUNDS[1], INTERCEPT_BOUNDS[1]])) if bounded else (None, None)
-    fits = minimise({t: np.array([1.0, 0.0]) for t in range(len(names))}, evaluate, tolerance=1e-10, passes=60, low=low, high=high)
+    fits = minimise({t: np.array([1.0, 0.0]) for t in range(len(names))}, evaluate, tolerance=1e-9, passes=60, low=low, high=high)
     return {names[t]: (float(f.x[0]), float(f.x[1]), f.converged or f.stalled) for t, f in fits.items()}
 
 

@@ -13,6 +13,7 @@ from dyadlab.operators.sums import Columns, grouped_sums, map_columns
 from dyadlab.session import cut
 
 STRENGTHS = (0.01, 0.1, 1.0, 10.0)
+NEWTON_LIMIT = 2_000_000  # second derivatives are collected (about eight passes) while they fit in 16 MB, else only gradients
 
 
 @dataclass(frozen=True)
@@ -79,15 +80,13 @@ def fit_heads(df: DataFrame, sets: Sequence[TrainingSet], endpoints: int, streng
     width = narrow.rdd.getNumPartitions()
     p = len(moments[0][1])
 
+    newton = len(tasks) * (p + 1) ** 2 <= NEWTON_LIMIT
+
     def evaluate(points):
         by_set: dict[int, list[int]] = {}
         for t in points:
             by_set.setdefault(tasks[t][1], []).append(t)
-        raw = {}
-        for k, members in by_set.items():
-            _, mean, scale = moments[k]
-            w = np.stack([points[t][:p] / scale for t in members], axis=1)
-            raw[k] = (w, np.array([points[t][p] for t in members]) - mean @ w, np.array([tasks[t][0] for t in members]))
+        packed = {k: (np.stack([points[t] for t in members], axis=1), np.array([tasks[t][0] for t in members]), *moments[k][1:]) for k, members in by_set.items()}
 
         def compute(c: Columns) -> dict[int, np.ndarray]:
             out = {}
@@ -95,25 +94,26 @@ def fit_heads(df: DataFrame, sets: Sequence[TrainingSet], endpoints: int, streng
                 keep = sets[k].mask(c)
                 if not keep.any():
                     continue
-                w, b, e = raw[k]
+                w, e, mean, scale = packed[k]
                 x = np.concatenate([c["x_r"][keep], c["x_l"][keep]])
+                x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
                 y = np.concatenate([c["y_r"][keep], c["y_l"][keep]])[:, e]
-                z = x @ w + b
-                residual = 1.0 / (1.0 + np.exp(-z)) - y
+                z = x @ w
+                prob = 1.0 / (1.0 + np.exp(-z))
                 loss = (np.logaddexp(0.0, z) - y * z).sum(0)
-                slope = x.T @ residual
-                total = residual.sum(0)
+                gradient = x.T @ (prob - y)
                 for j, t in enumerate(members):
-                    out[t] = np.concatenate([[loss[j], total[j]], slope[:, j]])
+                    curve = ((x * (prob[:, j] * (1 - prob[:, j]))[:, None]).T @ x).ravel() if newton else []
+                    out[t] = np.concatenate([[loss[j]], gradient[:, j], curve])
             return out
 
         results = {}
         for t, v in grouped_sums(narrow, compute, width).items():
             _, k, strength = tasks[t]
-            rows, mean, scale = moments[k]
-            w = points[t][:p]
-            gradient = np.concatenate([((v[2:] - mean * v[1]) / scale + w / strength) / rows, [v[1] / rows]])
-            results[t] = ((v[0] + w @ w / (2 * strength)) / rows, gradient, None)
+            rows, x = moments[k][0], points[t]
+            penalty = np.append(np.full(p, 1.0 / strength), 0.0)
+            hessian = (v[p + 2:].reshape(p + 1, p + 1) + np.diag(penalty)) / rows if newton else None
+            results[t] = ((v[0] + x @ (penalty * x) / 2) / rows, (v[1:p + 2] + penalty * x) / rows, hessian)
         return results
 
     fits = minimise({t: np.zeros(p + 1) for t in range(len(tasks))}, evaluate, tolerance=tolerance)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+NOISE = 1e-12  # sums over many rows are added in varying order; a smaller difference of losses means nothing
+
 # fit number -> (loss, gradient, Hessian or None), all per training row
 Evaluation = dict[int, tuple[float, np.ndarray, np.ndarray | None]]
 
@@ -68,7 +70,7 @@ def minimise(
             fit = fits[k]
             loss, gradient, hessian = results[k]
             moved = point - fit.x
-            enough = fit.gradient is None or loss <= fit.loss + 1e-4 * min(0.0, fit.gradient @ moved) + 1e-15
+            enough = fit.gradient is None or loss <= fit.loss + 1e-4 * min(0.0, fit.gradient @ moved) + NOISE * (1 + abs(fit.loss))
             if enough:
                 if fit.gradient is not None and fit.hessian is None and hessian is None:
                     change = gradient - fit.gradient

@@ -29,6 +29,11 @@ def batch_columns(batch: pa.RecordBatch) -> Columns:
     return out
 
 
+def _lists(vectors: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, vectors)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vectors).astype(np.float64)))
+
+
 def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarray]], tasks: int | None = None) -> dict[int, np.ndarray]:
     """Add up ``compute(batch)[fit]`` over the table, per fit number. ``tasks`` is the table's partition count where the
     caller knows it: few partitions need no second level."""
@@ -40,8 +45,7 @@ def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarra
                 for key, vector in compute(batch_columns(batch)).items():
                     total[key] = total[key] + vector if key in total else vector
         if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["fit", "stats"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _lists(list(total.values()))], ["fit", "stats"])
 
     def add(column):
         return F.aggregate(column, F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b)))
@@ -49,7 +53,8 @@ def grouped_sums(df: DataFrame, compute: Callable[[Columns], dict[int, np.ndarra
     partial = df.mapInArrow(run, "fit int, stats array<double>")
     if tasks is None or tasks > FAN_IN:
         partial = partial.groupBy("fit", (F.spark_partition_id() % FAN_IN).alias("bucket")).agg(add(F.collect_list("stats")).alias("stats"))
-    return {r["fit"]: np.asarray(r["stats"]) for r in partial.groupBy("fit").agg(add(F.collect_list("stats")).alias("stats")).collect()}
+    found = partial.groupBy("fit").agg(add(F.collect_list("stats")).alias("stats")).toArrow()  # fits x parameters
+    return {fit: np.array(stats.values) for fit, stats in zip(found["fit"].to_pylist(), found["stats"])}
 
 
 def map_columns(df: DataFrame, compute: Callable[[Columns], Columns], keep: list[str], schema: str) -> DataFrame:
@@ -65,7 +70,7 @@ def map_columns(df: DataFrame, compute: Callable[[Columns], Columns], keep: list
                 arrays.append(batch.column(batch.schema.get_field_index(name)))
             for name, values in compute(batch_columns(batch)).items():
                 names.append(name)
-                arrays.append(pa.array(values.tolist(), pa.list_(pa.float64())) if values.ndim == 2 else pa.array(values))
+                arrays.append(_lists(list(values)) if values.ndim == 2 else pa.array(values))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     return df.mapInArrow(run, schema)
