@@ -150,6 +150,7 @@ def balance_table(units: DataFrame, variables: Sequence[str], allocation: Sequen
 
 def number_summary(units: DataFrame, value: str, partition: str = "partition") -> DataFrame:
     """Count, mean and median of a unit-level number per partition."""
+    units = cut(units.select(partition, value))
     basic = units.groupBy(partition).agg(F.count(value).alias("evaluable"), F.avg(value).alias("mean"))
     return basic.join(exact_quantiles(units, value, {"median": 0.5}, [partition]), partition, "left")
 

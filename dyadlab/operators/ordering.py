@@ -81,10 +81,33 @@ def quantiles_of(ordered: DataFrame, value: str, probs: dict[str, float], groups
     return ordered.filter(touched).groupBy(*groups).agg(*picks)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles of one numeric column per group; nulls and NaN are left out."""
-    kept = df.select(*groups, value).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return quantiles_of(positions(kept, [value], groups), value, probs, groups)
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], groups: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles of one numeric column per group; nulls and NaN are left out.
+
+    With ``ties`` (a unique key) rows are sorted as they are. Without, equal values are folded to one line with a
+    count first, so a value shared by a third of the rows costs one line, not one task.
+    """
+    kept = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if ties:
+        return quantiles_of(positions(kept.select(*groups, value, *ties), [value, *ties], groups), value, probs, groups)
+    folded = kept.groupBy(*groups, value).agg(F.count("*").alias("_times"))
+    lines = positions(folded, [value], groups)
+    ordered = running_sums(lines, {"_upto": F.col("_times")}, groups)
+    sizes = lines.groupBy(*groups).agg(F.sum("_times").alias("_n"))
+    if groups:
+        placed = ordered.join(F.broadcast(sizes), list(groups))  # one line per group
+    else:
+        placed = ordered.withColumn("_n", sizes.scalar())
+    picks, touched = [], F.lit(False)
+    for name, p in probs.items():
+        spot = F.lit(float(p)) * (F.col("_n") - 1)
+        low = F.floor(spot)
+        high = F.least(low + 1, F.col("_n") - 1)
+        covers = lambda at: (at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_times"))
+        touched = touched | covers(low) | covers(high)
+        at_low, at_high = F.max(F.when(covers(low), F.col(value))), F.max(F.when(covers(high), F.col(value)))
+        picks.append((at_low + (at_high - at_low) * F.max(spot - low)).alias(name))
+    return placed.filter(touched).groupBy(*groups).agg(*picks)
 
 
 def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), ties: Sequence[Order] = (), out: str = "rank") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import average_ranks, exact_quantiles, positions, running_sums
 from dyadlab.operators.pairs import SIDE, UNIT
+from dyadlab.session import cut
 
 N = S.number
 
@@ -90,7 +91,7 @@ def _binned(rows: DataFrame, edges: DataFrame, bins: int, keys: Sequence[str]) -
 
 def equal_frequency_edges(rows: DataFrame, bins: int = 10, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
     names = {f"e{i}": i / bins for i in range(bins + 1)}
-    return exact_quantiles(rows, "prob", names, keys).select(*keys, F.array(*names).alias("edges"))
+    return cut(exact_quantiles(rows, "prob", names, keys).select(*keys, F.array(*names).alias("edges")))  # one line per key, read twice
 
 
 def reliability_bins(rows: DataFrame, edges: DataFrame, bins: int = 10, keys: Sequence[str] = ("endpoint",)) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, positions, quantiles_of
-from dyadlab.operators.pairs import UNIT
+from dyadlab.operators.pairs import SIDE, UNIT
 from dyadlab.session import cut
 
 N = S.number
@@ -105,8 +105,8 @@ def asymmetry(pairs: DataFrame) -> DataFrame:
 
 def asymmetry_summary(pairs: DataFrame, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
     by = [*keys, "state"]
-    rows = asymmetry(pairs).select(*by, "asymmetry", "oriented_margin")
-    ordered = positions(rows, ["asymmetry", "oriented_margin"], by)
+    rows = asymmetry(pairs).select(*by, UNIT, "asymmetry", "oriented_margin")
+    ordered = positions(rows, ["asymmetry", UNIT], by)
     mixed = F.col("state").isin("10", "01")
     basic = ordered.groupBy(*by).agg(
         F.count("*").alias("units"),
@@ -176,11 +176,11 @@ def confusion_rates(rows: DataFrame, keys: Sequence[str] = ("endpoint",)) -> Dat
 
 def residual_diagnostics(rows: DataFrame, target: str = "nll") -> DataFrame:
     observed = F.col(target)
-    long = rows.select("endpoint", observed.alias("observed"), F.explode(F.array(*[
+    long = rows.select("endpoint", UNIT, SIDE, observed.alias("observed"), F.explode(F.array(*[
         F.struct(F.lit(m.upper()).alias("model"), (observed - F.col(f"predicted_{target}_{m}")).alias("residual")) for m in ("r0", "r1")
-    ])).alias("_m")).select("endpoint", "observed", "_m.*")
+    ])).alias("_m")).select("endpoint", UNIT, SIDE, "observed", "_m.*")
     by = ["endpoint", "model"]
-    ordered = positions(long, ["residual", "observed"], by)
+    ordered = positions(long, ["residual", UNIT, SIDE], by)
     r = F.col("residual")
     basic = ordered.groupBy(*by).agg(
         F.count("*").alias("rows"), F.avg(r).alias("mean_residual"), F.stddev_samp(r).alias("sd_residual"),
@@ -206,7 +206,7 @@ def influence(units: DataFrame) -> DataFrame:
         F.avg((x > 0).cast("double")).alias("positive_fraction"), F.sum(x).alias("_net"), F.sum("_abs").alias("_total"),
         F.max_by(x, F.struct(F.col("_abs"), -F.col(UNIT))).alias("_strongest"),
     )
-    cuts = exact_quantiles(units, "contribution", {"median_contribution": 0.5, "q05_contribution": 0.05, "q95_contribution": 0.95}, ["endpoint"])
+    cuts = exact_quantiles(units, "contribution", {"median_contribution": 0.5, "q05_contribution": 0.05, "q95_contribution": 0.95}, ["endpoint"], [UNIT])
     by_size = top_share(units, F.col("_abs"), "_abs", "_top_abs")
     by_loss = top_share(units, F.col("observed_loss"), "contribution", "_top_loss")
     one_less = F.col("units") - 1
@@ -229,7 +229,7 @@ def loss_tail(units: DataFrame) -> DataFrame:
     """Contrast in bands (low, high] of the unit's observed loss; an empty band still appears."""
     units = cut(units)
     names = [f"c{i}" for i in range(len(TAIL_CUTS))]
-    cuts = exact_quantiles(units, "observed_loss", dict(zip(names, TAIL_CUTS)), ["endpoint"])
+    cuts = exact_quantiles(units, "observed_loss", dict(zip(names, TAIL_CUTS)), ["endpoint"], [UNIT])
     chain = F
     for i, name in enumerate(names):
         chain = chain.when(F.col("observed_loss") <= F.col(name), F.lit(i))
@@ -254,7 +254,7 @@ def loss_tail(units: DataFrame) -> DataFrame:
 
 def contribution_histogram(units: DataFrame, bins: int = 36, tail: float = 0.01) -> DataFrame:
     """Equal-width counts between the outer quantiles, last bin closed, with the counts outside."""
-    ordered = positions(units.select("endpoint", "contribution"), ["contribution"], ["endpoint"])
+    ordered = positions(units.select("endpoint", UNIT, "contribution"), ["contribution", UNIT], ["endpoint"])
     ends = quantiles_of(ordered, "contribution", {"_q_low": tail, "_q_high": 1 - tail}, ["endpoint"])
     x = F.col("contribution")
     placed = ordered.join(F.broadcast(ends), "endpoint")

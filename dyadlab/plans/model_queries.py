@@ -10,11 +10,13 @@ from dyadlab.operators import calibrate as Q
 from dyadlab.operators import heads as H
 from dyadlab.operators import nested as T
 from dyadlab.operators import ranking as R
+from dyadlab.operators import resample as B
+from dyadlab.operators import risk as K
 from dyadlab.operators import robust as G
 from dyadlab.operators.pairs import UNIT
 from dyadlab.plans.registry import query, table
 from dyadlab.plans.risk_queries import rounded
-from dyadlab.plans.views import FIRST_DEVICE, PAIRS_SQL, ROWS_SQL, SECOND_DEVICE, pair_predictions, predictions
+from dyadlab.plans.views import ENDPOINTS, FIRST_DEVICE, PAIRS_SQL, ROWS_SQL, SECOND_DEVICE, pair_predictions, predictions
 from dyadlab.session import cut
 
 N = S.number
@@ -170,3 +172,32 @@ def evaluable_quality_sums(spark, folder):
     bad = lambda s: S.flag(F.col(f"q1_{s}") == S.ABNORMAL)
     ok = pair_predictions(spark, folder).filter(F.col("q2_r").isin(1, 2) & F.col("q2_l").isin(1, 2))
     return rounded(ok.groupBy("endpoint").agg(F.count("*").alias("units"), F.sum((bad("r") + bad("l")) / N(2)).alias("q1_mean_sum"), F.sum(bad("r") - bad("l")).alias("q1_diff_sum")), 6)
+
+
+# -- report tables that need a fit ---------------------------------------------------------------------------------------
+
+SEED, REPLICATES = 20261001, 500
+
+
+@query("base_report")
+def base_report(spark, folder):
+    """Base-model metrics with calibration intercept and slope, calibration error and loss intervals."""
+    rows = cut(predictions(spark, folder).select("endpoint", UNIT, "side", "label", "prob", "nll", "brier"))
+    ece = R.calibration_error(R.reliability_bins(rows, R.equal_frequency_edges(rows))).select("endpoint", "ece")
+    slope = Q.calibration_slope(rows.select("endpoint", "prob", "label")).withColumnsRenamed({"intercept": "calibration_intercept", "slope": "calibration_slope"}).drop("converged")
+    table_ = K.mean_of_units(rows, {"nll": F.col("nll"), "brier": F.col("brier")}).join(R.binary_ranking(rows, F.col("label"), "prob"), "endpoint").join(slope, "endpoint").join(ece, "endpoint")
+    for loss in ("nll", "brier"):
+        interval = B.bca_interval(K.unit_means(rows, {loss: F.col(loss)}), loss, REPLICATES, [SEED])
+        table_ = table_.join(interval.select("endpoint", F.col("lower").alias(f"{loss}_lower"), F.col("upper").alias(f"{loss}_upper")), "endpoint")
+    return rounded(table_, 6)
+
+
+@query("primary_report")
+def primary_report(spark, folder):
+    """Risk contrast with two-sided interval, one-sided bound and the status in the fixed sequence."""
+    units = cut(K.unit_risks(predictions(spark, folder)))
+    both = B.bca_interval(units, "contribution", REPLICATES, [SEED]).select("endpoint", "lower", "upper", "method")
+    one = B.one_sided_lower(units, "contribution", REPLICATES, SEED).select("endpoint", F.col("lower").alias("one_sided_lower"), "significance_eligible")
+    place = F.array_position(F.array(*map(F.lit, ENDPOINTS)), F.col("endpoint")).cast("int") - 1
+    gate = R.fixed_sequence(one.withColumns({"position": place, "supported": F.coalesce((F.col("one_sided_lower") > 0) & F.col("significance_eligible"), F.lit(False))}))
+    return rounded(K.contrast_of_units(units, ["endpoint"]).join(both, "endpoint").join(gate.drop("significance_eligible"), "endpoint"), 6)

@@ -50,8 +50,9 @@ def test_running_sums(skewed):
 def test_exact_quantiles_equal_linear_interpolation(skewed):
     df, frame = skewed
     probs = {"lo": 0.013, "mid": 0.5, "hi": 0.99, "top": 1.0, "bottom": 0.0}
-    got = O.exact_quantiles(df, "v", probs, ["g"]).toPandas().set_index("g")
-    for g, part in frame.groupby("g"):
+    folded = O.exact_quantiles(df, "v", probs, ["g"]).toPandas().set_index("g")
+    sorted_rows = O.exact_quantiles(df, "v", probs, ["g"], ["id"]).toPandas().set_index("g")
+    for got, (g, part) in ((x, y) for x in (folded, sorted_rows) for y in frame.groupby("g")):
         np.testing.assert_allclose(got.loc[g, list(probs)].to_numpy(dtype=float), np.quantile(part["v"], list(probs.values())), atol=1e-12)
 
 
