@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, hash_cuts
 from dyadlab.operators.pairs import SIDE, UNIT
-from dyadlab.session import shuffle_width
 
 N = S.number
 BINARY = (0, 1)
@@ -435,7 +434,7 @@ def row_split_leakage(rows: DataFrame, row_key: Sequence[str], repeats: int, see
     Splits are found from two cut digests per repeat, so no repeat is sorted as a whole.
     """
     # spread before the repeats multiply the work; the three passes below then reuse this exchange of narrow keys
-    keyed = rows.filter(F.col(unit).isNotNull()).select(unit, *[c for c in row_key if c != unit]).repartition(shuffle_width(rows.sparkSession))
+    keyed = rows.filter(F.col(unit).isNotNull()).select(unit, *[c for c in row_key if c != unit]).hint("rebalance")
     drawn = keyed.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(
         "repetition", unit, S.keyed_digest(seed, F.col("repetition"), *[F.col(c) for c in row_key]).alias("digest"))
     first, second = (F.rint(N(share) * F.col("_n")).cast("bigint") for share in shares)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadlab.session import cut, shuffle_width
+from dyadlab.session import cut
 
 PART = "_part"
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits, the row number below
@@ -20,17 +20,17 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bi
 Order = str | Column
 
 
-def positions(df: DataFrame, order: Sequence[Order], groups: Sequence[str] = ()) -> DataFrame:
+def positions(df: DataFrame, order: Sequence[Order], groups: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Add ``pos`` (0-based within the group, in ``order``), ``group_rows`` and the partition number.
 
     ``order`` should end in a unique key, both for a deterministic result and so that one repeated value can be
     split over partitions. The sorted rows are checkpointed: sampled range bounds must not be drawn twice.
+    Unless ``partitions`` is given, up to ``spark.sql.shuffle.partitions`` ranges are made and adaptive execution
+    merges neighbours that are small.
     """
     keys = [*groups, *order]
-    width = shuffle_width(df.sparkSession)
-    ranged = cut(
-        df.repartitionByRange(width, *keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
-    )
+    spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ranged = cut(spread.sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id()))
     local = ranged.withColumns({
         PART: F.shiftright("_row", _ROW_BITS).cast("int"),
         "_row": F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),

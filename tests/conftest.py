@@ -12,5 +12,6 @@ def spark():
 
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1")  # small tables still use several partitions
     yield session
     session.stop()

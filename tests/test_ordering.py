@@ -20,7 +20,7 @@ def skewed(spark):
 
 def test_positions_match_a_window_under_skew_and_ties(skewed):
     df, frame = skewed
-    got = O.positions(df, ["v", "id"], ["g"]).toPandas().sort_values("id")
+    got = O.positions(df, ["v", "id"], ["g"], partitions=6).toPandas().sort_values("id")
     want = frame.sort_values(["g", "v", "id"]).groupby("g").cumcount().sort_index()
     assert (got["pos"].to_numpy() == want.to_numpy()).all()
     assert (got["group_rows"].to_numpy() == frame.groupby("g")["id"].transform("size").to_numpy()).all()
@@ -28,7 +28,7 @@ def test_positions_match_a_window_under_skew_and_ties(skewed):
 
 def test_hot_group_is_spread_over_partitions(skewed):
     df, _ = skewed
-    used = O.positions(df, ["v", "id"], ["g"]).filter("g = 'hot'").select(O.PART).distinct().count()
+    used = O.positions(df, ["v", "id"], ["g"], partitions=6).filter("g = 'hot'").select(O.PART).distinct().count()
     assert used >= 3
 
 
@@ -41,7 +41,7 @@ def test_positions_descending(skewed):
 
 def test_running_sums(skewed):
     df, frame = skewed
-    ordered = O.positions(df, ["v", "id"], ["g"])
+    ordered = O.positions(df, ["v", "id"], ["g"], partitions=6)
     got = O.running_sums(ordered, {"total": F.col("id")}, ["g"]).toPandas().sort_values("id")
     want = frame.sort_values(["g", "v", "id"]).groupby("g")["id"].cumsum().sort_index()
     assert (got["total"].to_numpy() == want.to_numpy()).all()
