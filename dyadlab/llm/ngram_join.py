@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +15,16 @@ from dyadlab.llm.words import SPACES, Words, mix, pieces, shingle_sets
 from dyadlab.session import cut
 
 SHINGLE = 5
-SLOTS = 1 << 22  # of the frequency sketch, so that its size is fixed
-HOT_SHARE = 1 / 256  # a task reports slots met in at least this part of its documents ...
-HOT_LEAST = 32  # ... and so many of them
-PLAIN, INDEX, PROBE = 0, 1, 2
+SLOTS = 1 << 24  # of the frequency sketch, so that its size is fixed
+LEAST = 16  # documents from which a slot counts as met more than once
+HOT = 7  # level of a frequent shingle (64 documents)
+INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
+KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
+BUCKETS = 64  # of the table of candidate texts
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (mix(h, 11) >> np.uint64(42)).astype(np.int64)
+    return (mix(h, 11) >> np.uint64(40)).astype(np.int64)
 
 
 def _differences(n: int) -> int:
@@ -40,97 +43,103 @@ def signatures(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Keys and roles under which a shingle set is filed. Two sets of similarity 0.75 share a key with fitting roles.
 
     In band k the universe is hashed into 4^(k+1) segments. A set differs from any partner in at most d = n // 3 elements,
-    hence in at most d segments; credits of d + 1 must be allocated to its segments, one for a segment that is to be
-    equal, two for one that may differ by one element (one-deletion neighbourhood). The cost of a segment is the
-    frequency of its rarest shingle. Sets with d + 1 segments that are not frequent take the first d + 1 of these in hash
-    order, the same order for all (plain keys). A set with fewer takes all it has as plain keys, is filed whole (segments
-    and deletions) in a second index, and buys the lacking credits there from its cheapest options: a frequent segment,
-    or the second credit of a rare one. A pair in which one set has enough rare segments meets in a plain key; a pair in
-    which both lack them meets in the second index.
+    hence in at most d segments, so of any d + 1 segments one is equal in both. A segment costs as much as its rarest
+    shingle is frequent; every set takes its d + 1 cheapest segments, ties in hash order, which is one order for all.
+
+    Sets in which fewer than d + 1 segments are not frequent (HOT) take these, and two such sets can still miss each
+    other. If they share a shingle that is not frequent, they meet under it: they file each of these too. If not, both
+    consist of frequent shingles to 3/4 at least, all their r other shingles differ, and at most d - r frequent ones. Such
+    sets partition their frequent shingles alone; all segments and one-deletion neighbourhoods are filed (INDEX), and
+    d - r + 1 credits are spent on the cheapest probes: one for a segment that is to be equal, a second one for a segment
+    that may differ by one shingle, whose price is what its deletions meet.
     """
     n = len(h)
     need = _differences(n) + 1
+    frequent = level >= HOT
+    lacking = False
     keys, roles = [], []
     with np.errstate(over="ignore"):
         for k in _bands(n):
-            m = 4 ** (k + 1)
-            segment = ((mix(h, 20 + k) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(segment, kind="stable")
-            s, x, lev = segment[order], mix(h[order], 3), level[order]
-            cut_at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            place, size = s[cut_at], np.diff(np.concatenate([cut_at, [n]]))
-            salt = mix(place.astype(np.uint64), 40 + k)
-            total = np.add.reduceat(x, cut_at)
-            cost = np.minimum.reduceat(lev, cut_at)
-            base = mix(total + salt, 1)
-            rare = cost == 0
-            plain = base[rare]
-            if len(plain) >= need:
-                keys.append(np.partition(plain, need - 1)[:need])
-                roles.append(np.full(need, PLAIN))
-                continue
-            keys.append(plain)
-            roles.append(np.full(len(plain), PLAIN))
-            # second index, under keys of its own
-            owner = np.repeat(np.arange(len(place)), size)
-            deletable = size[owner] > 1
-            second = mix(total + salt, 2)
-            gone = mix(total[owner] - x + salt[owner], 2)
-            empty = mix(mix(np.setdiff1d(np.arange(m), place).astype(np.uint64), 40 + k), 2) if len(place) < need else np.zeros(0, np.uint64)
-            keys += [second, gone[deletable], empty]
-            roles.append(np.full(len(second) + int(deletable.sum()) + len(empty), INDEX))
-            lack = need - len(plain)
-            # costs as powers of two: a frequent segment its own, a second credit what its deletions meet
-            least_left = np.full(len(place), 255, np.int64)
-            lowest = np.lexsort((lev, s))
-            firsts = cut_at[size > 1]
-            least_left[size > 1] = lev[lowest][firsts + 1]  # without its rarest element
-            once = np.flatnonzero(~rare)
-            twice = np.flatnonzero(rare & (size > 1))
-            option = np.concatenate([once, twice])
-            price = np.concatenate([cost[once].astype(np.int64), least_left[twice]])
-            chosen = option[np.argsort(price, kind="stable")[:lack]]
-            again = np.isin(owner, chosen[rare[chosen]]) & deletable
-            short = lack - len(chosen)
-            keys += [second[chosen], gone[again], empty if short > 0 else empty[:0]]
-            roles.append(np.full(len(chosen) + int(again.sum()) + (len(empty) if short > 0 else 0), PROBE))
+            place, _, total, cost, _ = _segments(h, level, k)
+            plain, price = mix(total + mix(place.astype(np.uint64), 40 + k), 1), cost
+            rare = price < HOT
+            if rare.sum() >= need:
+                chosen = plain[np.lexsort((plain, price))[:need]]
+            else:
+                chosen, lacking = plain[rare], True
+                common = n - int((~frequent).sum())
+                if 4 * common >= 3 * n:
+                    for key, role in _frequent_part(h[frequent], level[frequent], k, need - (n - common)):
+                        keys.append(key)
+                        roles.append(np.full(len(key), role + 4 * (255 * common // n)))
+            keys.append(chosen)
+            roles.append(np.full(len(chosen), PLAIN))
+        if lacking:
+            keys.append(mix(h[~frequent], 7))
+            roles.append(np.full(len(keys[-1]), PLAIN))
     return np.concatenate(keys), np.concatenate(roles)
 
 
+def _segments(h: np.ndarray, level: np.ndarray, k: int):
+    """Of each segment of band k that holds elements: its number, size, element sum, least level; and the element order."""
+    segment = ((mix(h, 20 + k) >> np.uint64(32)) * np.uint64(4 ** (k + 1)) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((level, segment))
+    s = segment[order]
+    at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[at], np.diff(np.concatenate([at, [len(h)]])), np.add.reduceat(mix(h[order], 3), at), level[order][at], order
+
+
+def _frequent_part(h: np.ndarray, level: np.ndarray, k: int, credits: int) -> list[tuple[np.ndarray, int]]:
+    place, size, total, cost, order = _segments(h, level, k)
+    salt = mix(place.astype(np.uint64), 40 + k)
+    owner = np.repeat(np.arange(len(place)), size)
+    several = size > 1
+    whole = mix(total + salt, 2)
+    less = mix(total[owner] - mix(h[order], 3) + salt[owner], 2)  # each segment less one of its elements
+    # segments that are empty stand for themselves, so that one element more or less is found there as well
+    empty = mix(mix(np.setdiff1d(np.arange(4 ** (k + 1)), place).astype(np.uint64), 40 + k), 2) if len(place) < credits else whole[:0]
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    second_cost = level[order][first[several] + 1]  # what is left without its rarest element
+    option = np.concatenate([np.arange(len(place)), np.flatnonzero(several)])
+    second = np.concatenate([np.zeros(len(place), bool), np.ones(int(several.sum()), bool)])
+    cheapest = np.lexsort((second, np.concatenate([cost, second_cost])))[:credits]
+    probes = whole[option[cheapest]]
+    twice = np.isin(owner, option[cheapest][second[cheapest]])
+    out = [(whole, INDEX), (less[several[owner]], INDEX), (empty, INDEX), (probes, PROBE), (less[twice], PROBE)]
+    return out + ([(empty, PROBE)] if len(cheapest) < credits else [])
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (kind 0: id, set size, two set hashes) and, at the task's end, (kind 1: slot, documents)."""
-    seen, documents = np.zeros(SLOTS, np.int32), 0
+    seen, elements = np.zeros(SLOTS, np.uint16), 0
     names = ["kind", "a", "n", "x", "y"]
     for ids, texts in pieces(batches):
-        sets = shingle_sets(Words(texts, SPACES), SHINGLE)
         rows = np.zeros((4, len(ids)), np.int64)
-        for i, s in enumerate(sets):
+        rows[0] = ids
+        for i, s in enumerate(shingle_sets(Words(texts, SPACES), SHINGLE)):
             if len(s):
-                np.add.at(seen, _slot(s), 1)
+                slot = _slot(s)
+                seen[slot] = np.minimum(seen[slot], 65000) + 1
+                elements += len(s)
                 with np.errstate(over="ignore"):
-                    rows[:, i] = ids[i], len(s), mix(s, 5).sum(dtype=np.uint64).astype(np.int64), mix(s, 6).sum(dtype=np.uint64).astype(np.int64)
-            else:
-                rows[0, i] = ids[i]
-        documents += len(ids)
+                    rows[1:, i] = len(s), mix(s, 5).sum(dtype=np.uint64).astype(np.int64), mix(s, 6).sum(dtype=np.uint64).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *map(pa.array, rows)], names=names)
-    hot = np.flatnonzero(seen >= max(HOT_LEAST, documents * HOT_SHARE))
-    zero = np.zeros(len(hot), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.array(hot), pa.array(seen[hot].astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
+    load = elements / SLOTS  # what chance puts into a slot
+    often = np.flatnonzero(seen >= 3 + load + 5 * load**0.5)
+    zero = np.zeros(len(often), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(seen[often].astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
 
 
-def _hot_levels(profile: DataFrame) -> np.ndarray:
-    """Frequency level of each sketch slot (0: not frequent). At most SLOTS lines reach the driver, however large the input."""
-    lines = profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toArrow()
-    level = np.zeros(SLOTS, np.uint8)
-    if lines.num_rows:
-        level[lines.column("a").to_numpy()] = np.log2(lines.column("n").to_numpy()).astype(np.uint8) + 1
-    return level
+def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots met in LEAST documents or more and their frequency level, 1 + log2. It steers costs, never what is found.
+    At most SLOTS short lines reach the driver, however large the input."""
+    lines = profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
+    return lines.column("a").to_numpy(), np.log2(lines.column("n").to_numpy()).astype(np.uint8) + np.uint8(1)
 
 
-def _entries(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(key, holder) with holder = 4 * id + role, one line per key of each document."""
-    hot = np.flatnonzero(level)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, level[hot]))
+def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, holder) with holder = 1024 * id + role, one line per key of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, what = shared.value
@@ -142,32 +151,33 @@ def _entries(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 if len(s):
                     k, r = signatures(s, level[_slot(s)])
                     keys.append(k)
-                    holders.append(i * 4 + r)
+                    holders.append(i * 1024 + r)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(holders).astype(np.int64))], names=["key", "holder"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(np.concatenate(holders).astype(np.int64))], names=["key", "holder"])
 
     return docs.mapInArrow(run, "key long, holder long")
 
 
-def _shingles(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in pieces(batches):
-            sets = shingle_sets(Words(texts, SPACES), SHINGLE)
-            flat = pa.array(np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, flat)], names=["doc", "shingles"])
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked) of the pairs (a, b): 100 * intersection >= 75 * union, on the sets of the whole texts.
 
-    return docs.mapInArrow(run, "doc long, shingles array<long>")
+    ``texts`` (doc, text) is bucketed by doc, so only the pairs and the first text are shuffled."""
 
-
-def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets link: 100 * intersection >= 75 * union, on whole sets."""
-    left = shingles.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
-    right = shingles.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    linked = shared * 100 >= (F.size("of_a") + F.size("of_b") - shared) * 75
-    return both.select("a", "b", linked.alias("linked"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                one, two = (shingle_sets(Words(part.column(c).cast(pa.binary()).to_pylist(), SPACES), SHINGLE) for c in (2, 3))
+                linked = []
+                for x, y in zip(one, two):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * common >= 75 * (len(x) + len(y) - common) > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    first = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = first.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    checked = both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+    return checked.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
 def _fits(a: str, b: str) -> Column:
@@ -179,9 +189,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Documents with equal sets are one class, represented by its smallest id, before any pair is formed. Representatives
     are filed under their signatures; keys held by one class only are dropped. First each key links its classes to its
-    smallest one (as many pairs as entries at most), which joins a group of near copies without forming its pairs. Then
-    every pair of classes that share a key and are not yet in one component is verified, whatever the key's size: no
-    partner is capped, so components are exact. Documents without words are linked with nothing. Null ids are left out;
+    smallest one and each class tries the one it shares most keys with (one pair per class), which joins a group of near
+    copies without forming its pairs. Then every pair of classes that share a key and are not yet in one component is
+    verified, whatever the key's size: no partner is capped, so components are exact. Documents without words are linked with nothing. Null ids are left out;
     rows that repeat an id are one document that links by any of its texts.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -189,27 +199,35 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     sets = profile.filter("kind = 0").select(F.col("a").alias("doc"), "n", "x", "y")
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
     member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
-    entries = _entries(docs, _hot_levels(profile))
-    held = entries.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("holders > 1")
-    shared = cut(held.select("key", F.shiftright("holder", 2).alias("doc"), F.pmod("holder", F.lit(4)).cast("int").alias("role")))
-    # copies fold into their class; of a class's roles under a key the strongest counts
-    folded = cut(shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(F.max("role").alias("role"), F.max("n").alias("n")))
+    entries = _entries(docs, _levels(profile))
+    doc = F.shiftright("holder", 10)
+    under = Window.partitionBy("key")
+    held = entries.select("key", "holder", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
+    # keys held by the same documents are one: what counts is the group, and how many keys it shares
+    shared = held.groupBy(F.xxhash64("holders", "rough", "group").alias("key"), doc.alias("doc")).agg(F.max(F.pmod("holder", F.lit(4))).cast("int").alias("role"), F.max(F.pmod(F.shiftright("holder", 2), F.lit(256))).cast("int").alias("part"), F.count(F.lit(1)).alias("votes"))
+    # copies fold into their class
+    folded = cut(shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.max("votes").alias("votes"), F.max("n").alias("n")))
     least = folded.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("n", "rep").alias("low_n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     filed = cut(folded.join(least, "key"))
-    stars = filed.filter((F.col("rep") != F.col("low")) & _fits("n", "low_n")).select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = filed.filter((F.col("rep") != F.col("low")) & _fits("n", "low_n")).groupBy("low", "rep").agg(F.sum("votes").alias("votes"))
+    stars = stars.groupBy("rep").agg(F.max_by("low", F.struct("votes", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
     wanted = filed.select(F.col("rep").alias("doc")).distinct()
-    shingles = cut(_shingles(docs.join(wanted, "doc", "left_semi")))
-    tried = cut(_verified(stars, shingles))
+    candidates = f"near_copy_texts_{uuid.uuid4().hex}"
+    docs.join(wanted, "doc", "left_semi").repartition(BUCKETS, "doc").write.bucketBy(BUCKETS, "doc").sortBy("doc").format("parquet").saveAsTable(candidates)
+    texts = docs.sparkSession.table(candidates)
+    tried = cut(_verified(stars, texts))
     links = tried.filter("linked").select("a", "b")
     label = cut(components(links))
-    left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "n", F.coalesce("component", "rep").alias("component"))
+    left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "n", F.coalesce("component", "rep").alias("component"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = cut(left.join(open_keys, "key"))
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "n", "component")])
-    met = (F.col("role") != INDEX) | (F.col("role2") != INDEX)
+    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "component")])
+    most = F.least((F.col("part") + 1) * F.col("n"), (F.col("part2") + 1) * F.col("n2"))  # frequent shingles of the poorer one
+    met = (F.col("role") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (most * 7 >= (F.col("n") + F.col("n2")) * 3 * 255))
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
     rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_verified(rest, shingles)).filter("linked").select("a", "b")
+    more = cut(_verified(rest, texts)).filter("linked").select("a", "b")
+    docs.sparkSession.sql(f"DROP TABLE {candidates}")
     found = components(links.unionByName(more))
     out = member.join(found, member.rep == found.node, "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
