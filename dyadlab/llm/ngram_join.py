@@ -21,6 +21,7 @@ HOT = 7  # level of a frequent shingle (64 documents)
 INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
+PARITY_BITS = 2048
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -158,6 +159,30 @@ def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFram
     return docs.mapInArrow(run, "key long, holder long")
 
 
+def _with_parity(docs: DataFrame) -> DataFrame:
+    """(doc, text, parity): of each bit, whether an odd number of the set's shingles fall on it. Each element in which two
+    sets differ flips one bit, so sets differ in at least as many elements as their parities in bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in pieces(batches):
+            lines = np.zeros((len(ids), PARITY_BITS // 64), np.int64)
+            for i, s in enumerate(shingle_sets(Words(texts, SPACES), SHINGLE)):
+                odd = np.bincount((mix(s, 9) >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+                lines[i] = np.packbits(odd.astype(bool)).view(np.int64)
+            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * lines.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(offsets, pa.array(lines.reshape(-1)))], names=["doc", "text", "parity"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, text string, parity array<long>")
+
+
+def _possible(pairs: DataFrame, texts: DataFrame, size: DataFrame) -> DataFrame:
+    """Those of the pairs whose parities allow a link: they differ in at most a seventh of both sizes together."""
+    side = lambda c: texts.select(F.col("doc").alias(c), F.col("parity").alias(f"of_{c}")).hint("merge").join(size.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}")).hint("merge"), c)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    flips = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.filter(flips * 7 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, linked) of the pairs (a, b): 100 * intersection >= 75 * union, on the sets of the whole texts.
 
@@ -213,9 +238,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     stars = stars.groupBy("rep").agg(F.max_by("low", F.struct("votes", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
     wanted = filed.select(F.col("rep").alias("doc")).distinct()
     candidates = f"near_copy_texts_{uuid.uuid4().hex}"
-    docs.join(wanted, "doc", "left_semi").repartition(BUCKETS, "doc").write.bucketBy(BUCKETS, "doc").sortBy("doc").format("parquet").saveAsTable(candidates)
+    # one exchange of the texts: the join and the buckets use the same partitions
+    chosen = docs.repartition(BUCKETS, "doc").join(wanted.repartition(BUCKETS, "doc").hint("merge"), "doc", "left_semi")
+    _with_parity(chosen).write.bucketBy(BUCKETS, "doc").sortBy("doc").format("parquet").saveAsTable(candidates)
     texts = docs.sparkSession.table(candidates)
-    tried = cut(_verified(stars, texts))
+    sizes = folded.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
+    stars = cut(stars)
+    tried = cut(_verified(_possible(stars, texts, sizes), texts))
     links = tried.filter("linked").select("a", "b")
     label = cut(components(links))
     left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "n", F.coalesce("component", "rep").alias("component"))
@@ -225,8 +254,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     most = F.least((F.col("part") + 1) * F.col("n"), (F.col("part2") + 1) * F.col("n2"))  # frequent shingles of the poorer one
     met = (F.col("role") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (most * 7 >= (F.col("n") + F.col("n2")) * 3 * 255))
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_verified(rest, texts)).filter("linked").select("a", "b")
+    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(_verified(_possible(rest, texts, sizes), texts)).filter("linked").select("a", "b")
     docs.sparkSession.sql(f"DROP TABLE {candidates}")
     found = components(links.unionByName(more))
     out = member.join(found, member.rep == found.node, "left")
