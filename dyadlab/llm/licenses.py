@@ -22,7 +22,7 @@ TEMPLATES = {  # longer wordings that are worth a label even when a few words di
 }
 PHRASE_GRAM, TEMPLATE_GRAM = 2, 3
 NEAR = 2  # diagonals that differ by at most so many words belong to one span
-AGREE = 0.75  # part of a template's k-grams that its span must hold
+AGREE = 0.6  # part of a template's k-grams that its span must hold
 
 
 def _templates(spark: SparkSession) -> DataFrame:
