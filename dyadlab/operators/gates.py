@@ -70,10 +70,12 @@ class Gate:
 
 def validation_checks(
     predictions: DataFrame, folds: DataFrame, holdout: DataFrame, methods: Sequence[str] = (), strengths: Sequence[float] = (), tolerance: float = 1e-12,
+    endpoints: Sequence[str] = (),
 ) -> DataFrame:
     """Rules a prediction table must meet before holdout release, one line per endpoint and rule; fails closed.
 
-    ``folds`` has (unit_id, outer_fold) of every development unit, ``holdout`` the held-out unit ids.
+    ``folds`` has (unit_id, outer_fold) of every development unit, ``holdout`` the held-out unit ids. Each of ``endpoints``
+    gets its lines whether it was predicted or not; without predictions they fail.
     """
     registered = F.lit(True)
     if methods:
@@ -91,6 +93,9 @@ def validation_checks(
     table = joined.groupBy("endpoint").agg(
         F.count("*").alias("units"), F.count_if((F.col("n") != 2) | (F.col("r") != 1) | (F.col("l") != 1)).alias("uncovered"), F.count_if(F.col("held").isNotNull()).alias("leaked"),
         F.count_if(~((F.col("f0") == F.col("fold")) & (F.col("f1") == F.col("fold"))) | F.col("fold").isNull()).alias("misfolded"), F.max("gap").alias("gap"), F.sum("no_gap").alias("no_gap"), F.sum("odd").alias("odd"))
+    if endpoints:
+        listed = predictions.sparkSession.createDataFrame([(e,) for e in endpoints], "endpoint string")
+        table = table.join(F.broadcast(listed), "endpoint", "full")  # one line per endpoint
     table = table.withColumn("expected_units", total)
     rules = [
         ("coverage", (F.col("uncovered") == 0) & (F.col("units") == F.col("expected_units")), F.col("uncovered")), ("holdout_exclusion", F.col("leaked") == 0, F.col("leaked")),
@@ -113,7 +118,10 @@ SECRET_PATTERNS = {
 }
 RESTRICTED_COLUMNS = ("unit_id", "row_id", "side", "label")
 FORBIDDEN_PARTS = ("private_artifacts", "predictions", "embeddings", "checkpoints")
-FORBIDDEN_SUFFIXES = (".npy", ".npz", ".pt", ".pth", ".pkl", ".joblib", ".key", ".pem", ".p12", ".pfx", ".jpg", ".jpeg", ".tif", ".tiff", ".dcm")
+FORBIDDEN_SUFFIXES = (
+    ".jpg", ".jpeg", ".tif", ".tiff", ".dcm", ".npy", ".npz", ".pt",
+    ".pth", ".pkl", ".joblib", ".p12", ".pfx", ".key", ".pem",
+)
 SIZE_LIMIT = 10 * 1024 * 1024
 
 

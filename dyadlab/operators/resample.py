@@ -105,7 +105,7 @@ def bca_interval(
 ) -> DataFrame:
     """Bias-corrected accelerated interval per key and seed.
 
-    Fewer than two units: not estimable. No spread at all: a point mass that never counts as significant.
+    Fewer than two units, or no finite value: not estimable. No spread at all: a point mass that never counts as significant.
     Only one line per key and seed reaches the driver, to place the two quantiles.
     """
     x = F.col(value)
@@ -137,11 +137,13 @@ def bca_interval(
 
     estimable, point = F.col("method") != "not_estimable", F.col("method") == "percentile_point_mass_fallback"
     bound = lambda p: F.when(point, F.col("estimate")).when(estimable, at(F.col(p)))
-    return (
-        stats.join(placed, [*keys, "seed"]).join(sorted_means, [*keys, "seed"])
-        .select(*keys, "seed", "units", "replicates", "estimate", bound("p_low").alias("lower"), bound("p_high").alias("upper"),
-                "method", "z0", "acceleration", (F.col("method") == "BCa").alias("significance_eligible"))
-    )
+    out = stats.join(placed, [*keys, "seed"]).join(sorted_means, [*keys, "seed"]).select(
+        *keys, "seed", "units", "replicates", "estimate", bound("p_low").alias("lower"), bound("p_high").alias("upper"),
+        "method", "z0", "acceleration", (F.col("method") == "BCa").alias("significance_eligible"))
+    # keys of the input without any finite value
+    given = {"seed": F.col("seed"), "units": F.lit(0), "method": F.lit("not_estimable"), "significance_eligible": F.lit(False)}
+    empty = values.select(*keys).distinct().join(finite.select(*keys).distinct(), list(keys), "left_anti").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    return out.unionByName(empty.select(*[(F.col(c) if c in keys else given.get(c, F.lit(None))).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
 
 
 def one_sided_lower(values: DataFrame, value: str, replicates: int, seed: int, alpha: float = 0.05, keys: Sequence[str] = ("endpoint",)) -> DataFrame:

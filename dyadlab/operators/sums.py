@@ -18,10 +18,14 @@ FAN_IN = 64
 
 
 def batch_columns(batch: pa.RecordBatch) -> Columns:
-    """Arrow batch to arrays; fixed-length list columns become two-dimensional without a per-row copy."""
+    """Arrow batch to arrays; list columns become two-dimensional without a per-row copy; lists that
+    are null or of unequal lengths fail."""
     out = {}
     for name, column in zip(batch.schema.names, batch.columns):
         if pa.types.is_list(column.type):
+            sizes = np.diff(column.offsets.to_numpy())
+            if column.null_count or len(np.unique(sizes)) > 1:
+                raise ValueError(f"vectors in {name} must have one length and no nulls")
             flat = column.flatten().to_numpy(zero_copy_only=False)
             out[name] = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 0)
         else:

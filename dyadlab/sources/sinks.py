@@ -33,10 +33,13 @@ def write_tables(tables: dict[str, DataFrame], root: str, fmt: str = "parquet")
 
 
 def table_ledger(tables: dict[str, DataFrame]) -> DataFrame:
-    """Name, rows, schema and an order-free content hash of each table (exact sum of row hashes; one narrow scan)."""
+    """Name, rows, schema and an order-free content hash of each table, in one narrow scan: SHA-256 of each row as JSON
+    with its nulls, added up exactly in four parts (so repeated rows count and moved values or nulls show)."""
     out = None
     for name, df in tables.items():
-        line = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content_hash"))
+        digest = df.select(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256).alias("d"))
+        parts = [F.coalesce(F.sum(F.conv(F.substring("d", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(4)]
+        line = digest.agg(F.count("*").alias("rows"), F.concat_ws("-", *parts).alias("content_hash"))
         line = line.select(F.lit(name).alias("table_name"), "rows", F.lit(df.schema.simpleString()).alias("schema"), "content_hash")
         out = line if out is None else out.unionByName(line)
     return out
