@@ -17,7 +17,9 @@ from dyadlab.session import cut
 SHINGLE = 5
 SLOTS = 1 << 24  # of the frequency sketch, so that its size is fixed
 LEAST = 16  # documents from which a slot counts as met more than once
-HOT = 7  # level of a frequent shingle (64 documents)
+THIN = 8  # of so many places in which a slot is met, one is told to the sketch
+HOT = 6  # level of a frequent shingle (32 documents)
+PROFILE = ["kind", "a", "n", "x", "y", "slots", "counts"]
 INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
@@ -111,31 +113,40 @@ def _frequent_part(h: np.ndarray, level: np.ndarray, k: int, credits: int) -> li
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (kind 0: id, set size, two set hashes) and, at the task's end, (kind 1: slot, documents)."""
-    seen, elements = np.zeros(SLOTS, np.uint16), 0
-    names = ["kind", "a", "n", "x", "y"]
+    """Lines (kind 0: id, set size, two set hashes) and, at the task's end, lines of the frequency sketch (kind 1: slots
+    and documents). A slot met c times in a task is told with chance c / THIN, then as max(c, THIN): summed over tasks that
+    estimates the documents of a slot without bias, however the table is cut into tasks. The chance is a hash of the slot
+    and the task's first id, so a task that is run again says the same."""
+    seen, first = np.zeros(SLOTS, np.uint16), 0
     for ids, texts in pieces(batches):
         rows = np.zeros((4, len(ids)), np.int64)
         rows[0] = ids
+        first = first or int(ids[0])
         for i, s in enumerate(shingle_sets(Words(texts, SPACES), SHINGLE)):
             if len(s):
                 slot = _slot(s)
                 seen[slot] = np.minimum(seen[slot], 65000) + 1
-                elements += len(s)
                 with np.errstate(over="ignore"):
                     rows[1:, i] = len(s), mix(s, 5).sum(dtype=np.uint64).astype(np.int64), mix(s, 6).sum(dtype=np.uint64).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *map(pa.array, rows)], names=names)
-    load = elements / SLOTS  # what chance puts into a slot
-    often = np.flatnonzero(seen >= 3 + load + 5 * load**0.5)
-    zero = np.zeros(len(often), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often), np.int32)), pa.array(often), pa.array(seen[often].astype(np.int64)), pa.array(zero), pa.array(zero)], names=names)
+        nothing = pa.nulls(len(ids), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *map(pa.array, rows), nothing, nothing], names=PROFILE)
+    met = np.flatnonzero(seen)
+    with np.errstate(over="ignore"):
+        chance = mix(met.astype(np.uint64) + (np.array([first]).astype(np.uint64) << np.uint64(24)), 13) >> np.uint64(32)
+    told = met[chance * np.uint64(THIN) < seen[met].astype(np.uint64) << np.uint64(32)]
+    for at in range(0, len(told), 1 << 16):
+        part = told[at : at + (1 << 16)].astype(np.int32)
+        lists = [pa.array([x], pa.list_(pa.int32())) for x in (part, np.maximum(seen[part], THIN).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([0], pa.int64())] * 4, *lists], names=PROFILE)
 
 
 def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots met in LEAST documents or more and their frequency level, 1 + log2. It steers costs, never what is found.
-    At most SLOTS short lines reach the driver, however large the input."""
-    lines = profile.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).toArrow()
-    return lines.column("a").to_numpy(), np.log2(lines.column("n").to_numpy()).astype(np.uint8) + np.uint8(1)
+    """Slots met in LEAST documents or more, beyond what chance puts into a slot, and their frequency level, 1 + log2. It
+    steers costs, never what is found. At most SLOTS short lines reach the driver, however large the input."""
+    load = (profile.filter("kind = 0").agg(F.sum("n")).first()[0] or 0) / SLOTS
+    told = profile.filter("kind = 1").select(F.explode(F.arrays_zip("slots", "counts")).alias("s")).select("s.*")
+    lines = told.groupBy("slots").agg(F.sum("counts").alias("n")).filter(F.col("n") >= LEAST + load + 3 * (THIN * load) ** 0.5).toArrow()
+    return lines.column("slots").to_numpy(), np.log2(lines.column("n").to_numpy() - load).astype(np.uint8) + np.uint8(1)
 
 
 def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -220,7 +231,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows that repeat an id are one document that links by any of its texts.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    profile = cut(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long"))
+    profile = cut(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long, slots array<int>, counts array<int>"))
     sets = profile.filter("kind = 0").select(F.col("a").alias("doc"), "n", "x", "y")
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
     member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
