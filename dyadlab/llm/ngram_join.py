@@ -21,6 +21,8 @@ THIN = 8  # of so many places in which a slot is met, one is told to the sketch
 HOT = 6  # level of a frequent shingle (32 documents)
 PROFILE = ["kind", "a", "n", "x", "y", "slots", "counts"]
 INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
+MARK_BITS = 16  # role (2), frequent share in 255ths (8), step (6)
+NO_STEP = 63
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
 PARITY_BITS = 2048
@@ -43,7 +45,7 @@ def _bands(n: int) -> list[int]:
 
 
 def signatures(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and roles under which a shingle set is filed. Two sets of similarity 0.75 share a key with fitting roles.
+    """Keys and marks under which a shingle set is filed. Two sets of similarity 0.75 share a key with fitting marks.
 
     In band k the universe is hashed into 4^(k+1) segments. A set differs from any partner in at most d = n // 3 elements,
     hence in at most d segments, so of any d + 1 segments one is equal in both. A segment costs as much as its rarest
@@ -51,65 +53,67 @@ def signatures(h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     Sets in which fewer than d + 1 segments are not frequent (HOT) take these, and two such sets can still miss each
     other. If they share a shingle that is not frequent, they meet under it: they file each of these too. If not, both
-    consist of frequent shingles to 3/4 at least, all their r other shingles differ, and at most d - r frequent ones. Such
-    sets partition their frequent shingles alone; all segments and one-deletion neighbourhoods are filed (INDEX), and
-    d - r + 1 credits are spent on the cheapest probes: one for a segment that is to be equal, a second one for a segment
-    that may differ by one shingle, whose price is what its deletions meet.
+    consist of frequent shingles to 3/4 at least, and all their other shingles differ. What is left of the (n + m) / 7
+    differences of a link of sizes n and m is then all by which their frequent shingles may differ (_allowance), and the
+    frequent shingles are partitioned by that number: the fewer differences are left, the fewer and larger the segments.
     """
     n = len(h)
     need = _differences(n) + 1
     frequent = level >= HOT
     lacking = False
-    keys, roles = [], []
+    keys, marks = [], []
     with np.errstate(over="ignore"):
         for k in _bands(n):
-            place, _, total, cost, _ = _segments(h, level, k)
+            place, total, cost, _ = _segments(h, 20 + k, 4 ** (k + 1), level)
             plain, price = mix(total + mix(place.astype(np.uint64), 40 + k), 1), cost
             rare = price < HOT
             if rare.sum() >= need:
                 chosen = plain[np.lexsort((plain, price))[:need]]
             else:
                 chosen, lacking = plain[rare], True
-                common = n - int((~frequent).sum())
-                if 4 * common >= 3 * n:
-                    for key, role in _frequent_part(h[frequent], level[frequent], k, need - (n - common)):
-                        keys.append(key)
-                        roles.append(np.full(len(key), role + 4 * (255 * common // n)))
             keys.append(chosen)
-            roles.append(np.full(len(chosen), PLAIN))
         if lacking:
             keys.append(mix(h[~frequent], 7))
-            roles.append(np.full(len(keys[-1]), PLAIN))
-    return np.concatenate(keys), np.concatenate(roles)
-
-
-def _segments(h: np.ndarray, level: np.ndarray, k: int):
-    """Of each segment of band k that holds elements: its number, size, element sum, least level; and the element order."""
-    segment = ((mix(h, 20 + k) >> np.uint64(32)) * np.uint64(4 ** (k + 1)) >> np.uint64(32)).astype(np.int64)
+        marks.append(np.full(sum(map(len, keys)), PLAIN + 1024 * NO_STEP))
+        common = int(frequent.sum())
+        if lacking and 4 * common >= 3 * n:
+            part = 255 * common // n
+            for key, role, step in _frequent_part(h[frequent], _differences(n) - _others(n, part)):
+                keys.append(key)
+                marks.append(np.full(len(key), role + 4 * part + 1024 * step))
+    return np.concatenate(keys), np.concatenate(marks)
+
+
+def _segments(h: np.ndarray, seed: int, count: int, level: np.ndarray):
+    """Of each of ``count`` segments that holds elements: its number, element sum, least level; and the segment of each element."""
+    segment = ((mix(h, seed) >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((level, segment))
     s = segment[order]
     at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    return s[at], np.diff(np.concatenate([at, [len(h)]])), np.add.reduceat(mix(h[order], 3), at), level[order][at], order
-
-
-def _frequent_part(h: np.ndarray, level: np.ndarray, k: int, credits: int) -> list[tuple[np.ndarray, int]]:
-    place, size, total, cost, order = _segments(h, level, k)
-    salt = mix(place.astype(np.uint64), 40 + k)
-    owner = np.repeat(np.arange(len(place)), size)
-    several = size > 1
-    whole = mix(total + salt, 2)
-    less = mix(total[owner] - mix(h[order], 3) + salt[owner], 2)  # each segment less one of its elements
-    # segments that are empty stand for themselves, so that one element more or less is found there as well
-    empty = mix(mix(np.setdiff1d(np.arange(4 ** (k + 1)), place).astype(np.uint64), 40 + k), 2) if len(place) < credits else whole[:0]
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    second_cost = level[order][first[several] + 1]  # what is left without its rarest element
-    option = np.concatenate([np.arange(len(place)), np.flatnonzero(several)])
-    second = np.concatenate([np.zeros(len(place), bool), np.ones(int(several.sum()), bool)])
-    cheapest = np.lexsort((second, np.concatenate([cost, second_cost])))[:credits]
-    probes = whole[option[cheapest]]
-    twice = np.isin(owner, option[cheapest][second[cheapest]])
-    out = [(whole, INDEX), (less[several[owner]], INDEX), (empty, INDEX), (probes, PROBE), (less[twice], PROBE)]
-    return out + ([(empty, PROBE)] if len(cheapest) < credits else [])
+    return s[at], np.add.reduceat(mix(h[order], 3), at), level[order][at], segment
+
+
+def _others(n: int, part: int) -> int:
+    """The fewest shingles that are not frequent in a set of n, of which part / 255, rounded down, are."""
+    return max(0, n - ((part + 1) * n - 1) // 255)
+
+
+def _frequent_part(h: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(keys, role, step) of frequent shingles that may differ by ``most`` from those of a partner.
+
+    Step j is for pairs with 2^(j-1) to 2^j - 1 differences: of 2^(j-1) segments one differs by one shingle at most, so its
+    content (PROBE) meets the other's content or one of the other's one-deletion neighbours (INDEX). Empty segments count.
+    Step 0 is for equal ones."""
+    flat = np.zeros(len(h), np.uint8)
+    for step in range(most.bit_length() + 1 if most >= 0 else 0):
+        count = 1 << max(step - 1, 0)
+        total = np.zeros(count, np.uint64)
+        place, sums, _, segment = _segments(h, 60 + step, count, flat)
+        total[place] = sums
+        total += mix(np.arange(count, dtype=np.uint64), 100 + step)
+        yield mix(total, 2), PROBE, step
+        if step:
+            yield mix(total[segment] - mix(h, 3), 2), INDEX, step
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, holder) with holder = 1024 * id + role, one line per key of each document."""
+    """(key, holder) with holder = 2^MARK_BITS * id + mark, one line per key of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFram
                 if len(s):
                     k, r = signatures(s, level[_slot(s)])
                     keys.append(k)
-                    holders.append(i * 1024 + r)
+                    holders.append((i << MARK_BITS) + r)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(np.concatenate(holders).astype(np.int64))], names=["key", "holder"])
 
@@ -216,6 +220,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checked.groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
 
 
+def _allowance() -> Column:
+    """By how many frequent shingles two linked sets may differ that share no other: (n + m) / 7 less all others."""
+    others = lambda n, part: F.greatest(F.lit(0), F.col(n) - F.expr(f"(({part} + 1) * {n} - 1) div 255"))
+    return F.expr("(n + n2) div 7") - others("n", "part") - others("n2", "part2")
+
+
 def _fits(a: str, b: str) -> Column:
     return (F.col(a) * 3 <= F.col(b) * 4) & (F.col(b) * 3 <= F.col(a) * 4)
 
@@ -236,13 +246,17 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
     member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     entries = _entries(docs, _levels(profile))
-    doc = F.shiftright("holder", 10)
+    doc, bits = F.shiftright("holder", MARK_BITS), lambda at, width: F.pmod(F.shiftright("holder", at), F.lit(1 << width)).cast("int")
     under = Window.partitionBy("key")
     held = entries.select("key", "holder", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
-    # keys held by the same documents are one: what counts is the group, and how many keys it shares
-    shared = held.groupBy(F.xxhash64("holders", "rough", "group").alias("key"), doc.alias("doc")).agg(F.max(F.pmod("holder", F.lit(4))).cast("int").alias("role"), F.max(F.pmod(F.shiftright("holder", 2), F.lit(256))).cast("int").alias("part"), F.count(F.lit(1)).alias("votes"))
-    # copies fold into their class
-    folded = cut(shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.max("votes").alias("votes"), F.max("n").alias("n")))
+    # keys of a step held by the same documents are one: what counts is the group, and how many keys it shares
+    marked = held.select(F.xxhash64("holders", "rough", "group", bits(10, 6)).alias("key"), doc.alias("doc"), bits(0, 2).alias("role"), bits(2, 8).alias("part"), bits(10, 6).alias("step"))
+    shared = marked.groupBy("key", "doc").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.min("part").alias("part_low"), F.max("step").alias("step"), F.count(F.lit(1)).alias("votes"))
+    # copies fold into their class; where a repeated id makes two sets one line, the steps say nothing and the key is plain
+    folded = shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(
+        F.max("role").alias("role"), F.max("part").alias("part"), F.max("step").alias("step"), F.max("votes").alias("votes"), F.max("n").alias("n"),
+        ((F.min("part_low") < F.max("part")) | (F.min("n") < F.max("n"))).alias("several"))
+    folded = cut(folded.withColumn("role", F.when(F.col("several"), PLAIN).otherwise(F.col("role"))).drop("several"))
     least = folded.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("n", "rep").alias("low_n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     filed = cut(folded.join(least, "key"))
     stars = filed.filter((F.col("rep") != F.col("low")) & _fits("n", "low_n")).groupBy("low", "rep").agg(F.sum("votes").alias("votes"))
@@ -258,12 +272,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     tried = cut(_verified(_possible(stars, texts, sizes), texts))
     links = tried.filter("linked").select("a", "b")
     label = cut(components(links))
-    left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "n", F.coalesce("component", "rep").alias("component"))
+    left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "step", "n", F.coalesce("component", "rep").alias("component"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     left = cut(left.join(open_keys, "key"))
     other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "component")])
-    most = F.least((F.col("part") + 1) * F.col("n"), (F.col("part2") + 1) * F.col("n2"))  # frequent shingles of the poorer one
-    met = (F.col("role") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (most * 7 >= (F.col("n") + F.col("n2")) * 3 * 255))
+    left_over = _allowance()
+    met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
     rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(_verified(_possible(rest, texts, sizes), texts)).filter("linked").select("a", "b")
