@@ -19,13 +19,14 @@ SLOTS = 1 << 24  # of the frequency sketch, so that its size is fixed
 LEAST = 16  # documents from which a slot counts as met more than once
 THIN = 8  # of so many places in which a slot is met, one is told to the sketch
 HOT = 6  # level of a frequent shingle (32 documents)
-PROFILE = ["kind", "a", "n", "x", "y", "slots", "counts"]
+PROFILE = ["kind", "a", "n", "x", "y", "parity", "slots", "counts"]
 INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
 MARK_BITS = 16  # role (2), frequent share in 255ths (8), step (6)
 NO_STEP = 63
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
-PARITY_BITS = 2048
+PARITY_BITS = 2048  # kept beside a text
+SHORT_PARITY_BITS = 256  # carried by every filed line
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -116,8 +117,19 @@ def _frequent_part(h: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int,
             yield mix(total[segment] - mix(h, 3), 2), INDEX, step
 
 
+def _parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """Of each bit, whether an odd number of the set's shingles fall on it. Each element in which two sets differ flips one
+    bit, so sets differ in at least as many elements as their parities in bits."""
+    odd = np.bincount((mix(h, 9) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _longs(lines: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * lines.shape[1]), pa.array(lines.reshape(-1)))
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (kind 0: id, set size, two set hashes) and, at the task's end, lines of the frequency sketch (kind 1: slots
+    """Lines (kind 0: id, set size, two set hashes, short parity) and, at the task's end, lines of the frequency sketch (kind 1: slots
     and documents). A slot met c times in a task is told with chance c / THIN, then as max(c, THIN): summed over tasks that
     estimates the documents of a slot without bias, however the table is cut into tasks. The chance is a hash of the slot
     and the task's first id, so a task that is run again says the same."""
@@ -125,15 +137,16 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in pieces(batches):
         rows = np.zeros((4, len(ids)), np.int64)
         rows[0] = ids
+        parity = np.zeros((len(ids), SHORT_PARITY_BITS // 64), np.int64)
         first = first or int(ids[0])
         for i, s in enumerate(shingle_sets(Words(texts, SPACES), SHINGLE)):
             if len(s):
-                slot = _slot(s)
+                slot, parity[i] = _slot(s), _parity(s, SHORT_PARITY_BITS)
                 seen[slot] = np.minimum(seen[slot], 65000) + 1
                 with np.errstate(over="ignore"):
                     rows[1:, i] = len(s), mix(s, 5).sum(dtype=np.uint64).astype(np.int64), mix(s, 6).sum(dtype=np.uint64).astype(np.int64)
         nothing = pa.nulls(len(ids), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *map(pa.array, rows), nothing, nothing], names=PROFILE)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), *map(pa.array, rows), _longs(parity), nothing, nothing], names=PROFILE)
     met = np.flatnonzero(seen)
     with np.errstate(over="ignore"):
         chance = mix(met.astype(np.uint64) + (np.array([first]).astype(np.uint64) << np.uint64(24)), 13) >> np.uint64(32)
@@ -141,7 +154,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(told), 1 << 16):
         part = told[at : at + (1 << 16)].astype(np.int32)
         lists = [pa.array([x], pa.list_(pa.int32())) for x in (part, np.maximum(seen[part], THIN).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([0], pa.int64())] * 4, *lists], names=PROFILE)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[pa.array([0], pa.int64())] * 4, pa.nulls(1, pa.list_(pa.int64())), *lists], names=PROFILE)
 
 
 def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -175,17 +188,14 @@ def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFram
 
 
 def _with_parity(docs: DataFrame) -> DataFrame:
-    """(doc, text, parity): of each bit, whether an odd number of the set's shingles fall on it. Each element in which two
-    sets differ flips one bit, so sets differ in at least as many elements as their parities in bits."""
+    """(doc, text, parity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in pieces(batches):
             lines = np.zeros((len(ids), PARITY_BITS // 64), np.int64)
             for i, s in enumerate(shingle_sets(Words(texts, SPACES), SHINGLE)):
-                odd = np.bincount((mix(s, 9) >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-                lines[i] = np.packbits(odd.astype(bool)).view(np.int64)
-            offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * lines.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(offsets, pa.array(lines.reshape(-1)))], names=["doc", "text", "parity"])
+                lines[i] = _parity(s, PARITY_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts, pa.binary()).cast(pa.string()), _longs(lines)], names=["doc", "text", "parity"])
 
     return docs.select("doc", "text").mapInArrow(run, "doc long, text string, parity array<long>")
 
@@ -241,10 +251,10 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows that repeat an id are one document that links by any of its texts.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    profile = cut(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long, slots array<int>, counts array<int>"))
-    sets = profile.filter("kind = 0").select(F.col("a").alias("doc"), "n", "x", "y")
+    profile = cut(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long, parity array<long>, slots array<int>, counts array<int>"))
+    sets = profile.filter("kind = 0").select(F.col("a").alias("doc"), "n", "x", "y", "parity")
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
-    member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
+    member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", "parity", F.coalesce("rep", "doc").alias("rep")))
     entries = _entries(docs, _levels(profile))
     doc, bits = F.shiftright("holder", MARK_BITS), lambda at, width: F.pmod(F.shiftright("holder", at), F.lit(1 << width)).cast("int")
     under = Window.partitionBy("key")
@@ -274,10 +284,15 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     label = cut(components(links))
     left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "step", "n", F.coalesce("component", "rep").alias("component"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = cut(left.join(open_keys, "key"))
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "component")])
+    # a repeated id with two sets has no parity of its own, and its pairs go on to be verified
+    short = member.groupBy(F.col("rep").alias("of")).agg(F.when(F.min("parity") == F.max("parity"), F.min("parity")).alias("parity"))
+    left = left.join(open_keys, "key")
+    left = cut(left.join(short, left.rep == short.of).drop("of"))
+    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component")])
     left_over = _allowance()
     met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
+    flips = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
+    met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True))
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
     rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(_verified(_possible(rest, texts, sizes), texts)).filter("linked").select("a", "b")
