@@ -167,17 +167,22 @@ def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, holder) with holder = 2^MARK_BITS * id + mark, one line per key of each document."""
+    """(key, holder) with holder = 2^MARK_BITS * id + mark, one line per key of each document. A task files equal sets once: all
+    that follows is by class, and any document of a class stands for it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, what = shared.value
         level = np.zeros(SLOTS, np.uint8)
         level[where] = what
+        filed = set()
         for ids, texts in pieces(batches):
             keys, holders = [], []
             for i, s in zip(ids, shingle_sets(Words(texts, SPACES), SHINGLE)):
-                if len(s):
+                with np.errstate(over="ignore"):
+                    of = len(s), int(mix(s, 5).sum(dtype=np.uint64)), int(mix(s, 6).sum(dtype=np.uint64))
+                if len(s) and of not in filed:
+                    filed.add(of)
                     k, r = signatures(s, level[_slot(s)])
                     keys.append(k)
                     holders.append((i << MARK_BITS) + r)
