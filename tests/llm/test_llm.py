@@ -212,6 +212,31 @@ def test_license_base_places(spark):
     assert "apache-2" in got[3].labels and "apache-2" in got[6].labels and got[7].labels == "" and got[7].score == 0
 
 
+def test_license_spans_are_verified(spark):
+    from dyadlab.llm import licenses
+
+    near_miss = [  # votes alone gave these the label of a template
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by"), ("Licensed under CC BY-NC-ND 4.0", "cc-by"), ("Licensed under CC BY-NC 3.0", "cc-by"),
+        ("Licensed under the Apache License, Version 1.1", "apache"),
+        ("This work is licensed under the GNU General Public License version 2", "gpl"), ("This work is licensed under the GNU Lesser General Public License version 3", ""),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", ""),
+        ("Redistribution and use in binary form with or without modification are permitted", ""),
+        ("this work is licensed under the gnu this work is licensed under the gnu", ""),  # the same grams twice
+    ]
+    whole = [
+        ("x Licensed under CC BY-NC 4.0 y", "cc-by,cc-by-nc-4"), ("Available under CC BY-SA 4.0", "cc-by,cc-by-sa-4"), ("licensed under an Apache License version 2.0", "apache,apache-2"),
+        ("our work is licensed under the GNU General Public License, version 3 or later", "gpl,gpl-3"), ("this source code form is subject to terms of the Mozilla Public License", "mpl"),
+    ]
+    whole += [(t.upper(), label) for t, label in licenses.TEMPLATES.items()]
+    got = {x.doc_id: x for x in licenses.scan(frame(spark, [t for t, _ in near_miss + whole])).collect()}
+    for i, (text, labels) in enumerate(near_miss + whole):
+        if i < len(near_miss) + 5:
+            assert got[i].labels == labels, (text, got[i].labels)
+        else:
+            assert labels in got[i].labels.split(",") and got[i].score == 1, text
+    assert set(licenses.TELLING) == set(licenses.TEMPLATES) and all(r in t for t, runs in licenses.TELLING.items() for r in runs)
+
+
 def test_exact_dedup_and_index_growth(spark):
     from dyadlab.llm.exact_dedup import DigestIndex, deduplicate
 
