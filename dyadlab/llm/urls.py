@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -53,6 +54,15 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(hosts, paths), lambda t: ~t.isin("h:", "p:")))
 
 
+def tested(rules: list[tuple[str, str]] = RULES) -> list[str]:
+    """The items that the fixed rules test: the labels of their hosts and the words of their paths."""
+    out = set()
+    for text, _ in rules:
+        name, _, rest = text.lower().partition("/")
+        out |= {"h:" + t for t in name.split(".")} | {"p:" + ("#" if t.isdigit() else t) for t in re.split("[^a-z0-9]+", rest)}
+    return sorted(out - {"h:", "p:"})
+
+
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     """Blocking rules (rule_id, items, confidence, support) from ``items`` and ``block`` (0/1) of labelled URLs.
 
@@ -98,12 +108,15 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, key: str = "page_id
 
     Fixed rules decide where one fits (the longest wins). The rest is judged by mined combinations, learnt from
     ``labels`` (key, block 0/1) or, without these, from the URLs that the fixed rules decide; a URL that fits no mined
-    rule is allowed. Null URLs have empty parts, no items and are allowed. Repeated keys are judged row by row.
+    rule is allowed. In the latter case the items that the fixed rules test are no evidence, as they are what made the
+    labels: rules are mined from the other items. Null URLs have empty parts, no items and are allowed. Repeated keys are judged row by row.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     parts = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = apply_rules(F.col("host"), F.col("path"))
     parts = cut(parts.withColumns({"rule": rule, "ruled": verdict, "items": tokens(F.col("host"), F.col("path"))}))
+    if labels is None:
+        parts = parts.withColumn("items", F.array_except("items", F.array(*[F.lit(t) for t in tested()])))
     distinct = parts.filter("ruled IS NULL").select("items").distinct().withColumn("key", F.xxhash64("items"))
     if labels is None:
         labelled = parts.filter("ruled IS NOT NULL").select("items", (F.col("ruled") == BLOCK).cast("int").alias("block"))

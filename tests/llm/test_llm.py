@@ -117,6 +117,23 @@ def test_url_rules_and_mining(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_outside_the_rules_stay_allowed(spark):
+    from dyadlab.llm import urls
+
+    assert urls.tested() == ["h:com", "h:example", "h:net", "h:www", "p:en", "p:es", "p:fr"]
+    hosts = ["therhe", "sonu", "mati", "velor", "kasti"]
+    rows = [(i, f"https://{hosts[i % 5]}.example.com/en/{i}") for i in range(300)] + [(300 + i, f"https://{hosts[i % 5]}.example.com/fr/{i}") for i in range(300)]
+    rows += [(1000 + i, f"https://{hosts[i % 5]}.example.org/{'en' if i % 2 else 'es'}/{i}") for i in range(100)]
+    rows += [(2000 + i, f"https://www.bad{i}.net/es/casino/{i}") for i in range(50)] + [(3000, "https://other.org/casino/1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert all(got[i].verdict == "block" and got[i].rule == "example.com/en/" for i in range(300))
+    assert all(got[i].verdict == "allow" and got[i].rule is None for i in range(1000, 1100))
+    assert got[3000].verdict == "block" and got[3000].mined_confidence > 0.9  # a word that no rule tests
+    own = urls.judge(pages, labels=spark.createDataFrame([(i, int(i < 300)) for i in range(600)], "page_id long, block int"))
+    assert own.filter("page_id >= 1000 AND page_id < 1100 AND verdict = 'block'").count() == 50  # labels of one's own: /en/ counts
+
+
 def test_chat_round_trip(spark):
     from dyadlab.llm import chat
 
