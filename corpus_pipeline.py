@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark)
-    kept = cut(exact_dedup.deduplicate(docs, index).filter("kept").select("doc_id"))
+    kept = cut(exact_dedup.deduplicate(docs, index, edges=exact_dedup.halves(docs)).filter("kept").select("doc_id"))
     index.drop()
     return _keep(docs, kept)
 

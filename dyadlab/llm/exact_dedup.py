@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
         self.spark, self.name, self.buckets = spark, name or f"digest_index_{uuid.uuid4().hex}", buckets
 
+    def create(self, key: str = "long") -> None:
+        """The empty bucketed table, unless it exists."""
+        if not self.exists():
+            self._write(self.spark.createDataFrame([], f"digest binary, keep_id {key}"), self.name, "append")
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
@@ -40,10 +47,9 @@ class DigestIndex:
     def append(self, candidates: DataFrame) -> DataFrame:
         """Add those (digest, keep_id) lines whose digest is new; return the lines that were added."""
         fresh = candidates.select("digest", "keep_id")
-        if self.exists():
-            old = self.read().select("digest").hint("merge")
-            fresh = fresh.join(old, "digest", "left_anti")
-        fresh = cut(fresh)
+        self.create(fresh.schema["keep_id"].dataType.simpleString())
+        old = self.read().select("digest").hint("merge")
+        fresh = cut(fresh.join(old, "digest", "left_anti"))
         self._write(fresh, self.name, "append")
         return fresh
 
@@ -55,21 +61,38 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", edges: Sequence = ()) -> DataFrame:
     """One line per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
 
     ``keep_id`` is the smallest key with that text in the batch, or what the index already holds for it. ``group_size``
     counts the batch's rows. Null texts equal empty ones. A row is ``kept`` if its key is keep_id and the text is new to
     the index; rows that repeat key and text are all marked alike. Null keys never win against others and stay only
     where a group has no other key (keep_id is then null and kept is false). An empty batch gives no lines.
+    Ascending ``edges`` cut the rows by key into batches that enter the index one after the other, each anti-joined with
+    what the earlier ones left there: null keys and keys up to the first edge, then up to the next, then the rest. The
+    smallest key comes first, and group sizes are summed, so the result is that of one batch.
     Texts are read and hashed once; only digests are stored. Joining the rows with their group's line is a plain
     shuffled join, which adaptive execution splits where one text holds a large share of the rows.
     """
     digests = cut(docs.select(F.col(key).alias("key"), F.sha2(normal_text(F.col(text)), 256).alias("text_sha256")).withColumn("digest", F.unhex("text_sha256")))
-    groups = digests.groupBy("digest").agg(F.min("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = cut(groups)
-    added = index.append(groups.filter("keep_id IS NOT NULL")).select("digest", F.lit(True).alias("new"))
-    held = groups.select("digest", "group_size").join(index.read().hint("merge"), "digest", "left").join(added, "digest", "left")
+    lows, highs = [None, *edges], [*edges, None]
+    groups, added = [], []
+    for low, high in zip(lows, highs):
+        over = F.lit(True) if low is None else F.col("key") > low
+        upto = F.lit(True) if high is None else F.col("key") <= high
+        part = digests.filter((over & upto) | F.col("key").isNull() if low is None else over & upto)
+        groups.append(cut(part.groupBy("digest").agg(F.min("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))))
+        added.append(index.append(groups[-1].filter("keep_id IS NOT NULL")))
+    added = reduce(DataFrame.unionByName, added).select("digest", F.lit(True).alias("new"))
+    sizes = reduce(DataFrame.unionByName, groups).select("digest", "group_size")
+    sizes = sizes.groupBy("digest").agg(F.sum("group_size").alias("group_size")) if edges else sizes
+    held = sizes.join(index.read().hint("merge"), "digest", "left").join(added, "digest", "left")
     out = digests.join(held, "digest")
     kept = F.coalesce((F.col("key") == F.col("keep_id")) & F.col("new"), F.lit(False))
     return out.select(F.col("key").alias(key), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def halves(docs: DataFrame, key: str = "doc_id") -> list:
+    """One edge for :func:`deduplicate` near the middle of the keys; none without keys."""
+    middle = docs.agg(F.percentile_approx(key, 0.5)).first()[0]
+    return [] if middle is None else [middle]

@@ -44,8 +44,8 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark)
-    out = cut(exact_dedup.deduplicate(table(spark, folder, "documents"), index))
+    docs, index = table(spark, folder, "documents"), exact_dedup.DigestIndex(spark)
+    out = cut(exact_dedup.deduplicate(docs, index, edges=exact_dedup.halves(docs)))  # the second batch meets a filled index
     index.drop()
     return out
 

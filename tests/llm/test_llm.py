@@ -274,6 +274,28 @@ def test_exact_dedup_and_index_growth(spark):
     index.drop()
 
 
+def test_exact_dedup_in_batches_equals_one(spark, monkeypatch):
+    from dyadlab.llm import exact_dedup as E
+    from dyadlab.llm import queries
+
+    r = random.Random(9)
+    rows = [(None if i % 17 == 0 else i, r.choice(["a b", "a  b", "c", "", None, f"t{i % 9}", f"u{i}"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    results = []
+    for edges in ([], [40], [20, 21, 90], E.halves(docs)):
+        index = E.DigestIndex(spark, buckets=4)
+        results.append(sorted(map(str, E.deduplicate(docs, index, edges=edges).collect())))
+        assert index.read().count() == index.read().select("digest").distinct().count()
+        index.drop()
+    assert len(results[0]) == 120 and all(x == results[0] for x in results)
+    assert E.halves(docs.limit(0)) == []
+
+    appends, append = [], E.DigestIndex.append
+    monkeypatch.setattr(E.DigestIndex, "append", lambda self, rows: appends.append(self.read().count() if self.exists() else 0) or append(self, rows))
+    queries.op7_exact_dedup(spark, "/root/testdata/sf0.001")
+    assert len(appends) == 2 and appends[1] > 0  # the registered query anti-joins with a filled index
+
+
 def test_token_counts_across_blocks(spark):
     from dyadlab.llm import token_counts as T
     from dyadlab.session import cut
