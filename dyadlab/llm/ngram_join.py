@@ -21,7 +21,7 @@ THIN = 8  # of so many places in which a slot is met, one is told to the sketch
 HOT = 6  # level of a frequent shingle (32 documents)
 PROFILE = ["kind", "a", "n", "x", "y", "parity", "slots", "counts"]
 INDEX, PROBE, PLAIN = 0, 1, 2  # what a document is under a key; the stronger role counts
-MARK_BITS = 16  # role (2), frequent share in 255ths (8), step (6)
+# a mark holds, from its lowest bit: role (2), frequent share in 255ths (8), step (6)
 NO_STEP = 63
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
@@ -167,7 +167,7 @@ def _levels(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, holder) with holder = 2^MARK_BITS * id + mark, one line per key of each document. A task files equal sets once: all
+    """(key, doc, mark), one line per key of each document; ids are any 64-bit integers. A task files equal sets once: all
     that follows is by class, and any document of a class stands for it."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -177,7 +177,7 @@ def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFram
         level[where] = what
         filed = set()
         for ids, texts in pieces(batches):
-            keys, holders = [], []
+            keys, holders, marks = [], [], []
             for i, s in zip(ids, shingle_sets(Words(texts, SPACES), SHINGLE)):
                 with np.errstate(over="ignore"):
                     of = len(s), int(mix(s, 5).sum(dtype=np.uint64)), int(mix(s, 6).sum(dtype=np.uint64))
@@ -185,11 +185,12 @@ def _entries(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFram
                     filed.add(of)
                     k, r = signatures(s, level[_slot(s)])
                     keys.append(k)
-                    holders.append((i << MARK_BITS) + r)
+                    holders.append(np.full(len(k), i, np.int64))
+                    marks.append(r)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(np.concatenate(holders).astype(np.int64))], names=["key", "holder"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(np.concatenate(holders)), pa.array(np.concatenate(marks).astype(np.int32))], names=["key", "doc", "mark"])
 
-    return docs.mapInArrow(run, "key long, holder long")
+    return docs.mapInArrow(run, "key long, doc long, mark int")
 
 
 def _with_parity(docs: DataFrame) -> DataFrame:
@@ -261,9 +262,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
     member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", "parity", F.coalesce("rep", "doc").alias("rep")))
     entries = _entries(docs, _levels(profile))
-    doc, bits = F.shiftright("holder", MARK_BITS), lambda at, width: F.pmod(F.shiftright("holder", at), F.lit(1 << width)).cast("int")
+    doc, bits = F.col("doc"), lambda at, width: F.pmod(F.shiftright("mark", at), F.lit(1 << width)).cast("int")
     under = Window.partitionBy("key")
-    held = entries.select("key", "holder", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
+    held = entries.select("key", "doc", "mark", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
     # keys of a step held by the same documents are one: what counts is the group, and how many keys it shares
     marked = held.select(F.xxhash64("holders", "rough", "group", bits(10, 6)).alias("key"), doc.alias("doc"), bits(0, 2).alias("role"), bits(2, 8).alias("part"), bits(10, 6).alias("step"))
     shared = marked.groupBy("key", "doc").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.min("part").alias("part_low"), F.max("step").alias("step"), F.count(F.lit(1)).alias("votes"))

@@ -92,6 +92,18 @@ def test_near_classes_equal_brute_force(spark, hot, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_near_classes_of_large_ids(spark):
+    from dyadlab.llm import ngram_join
+
+    words = vocabulary()
+    base = words[:60]
+    texts = [" ".join(base), " ".join(base + ["more"]), " ".join(base[1:] + ["other"]), " ".join(words[100:160])]
+    ids = [2**47 + 5, 2**62 + 1, -(2**61) - 3, 2**63 - 1]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_classes(docs).collect()}
+    assert got == {i: min(ids[:3]) for i in ids[:3]} | {ids[3]: ids[3]}
+
+
 def test_components(spark):
     from dyadlab.llm.components import components
 
