@@ -9,31 +9,46 @@ from dyadlab.llm import decontaminate, exact_dedup, ngram_join, sentencepiece_co
 from dyadlab.session import cut
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents (all their columns) whose doc_id is in ``ids``; ids are unique."""
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+ROW = "_row"  # a number of each row within a stage; ids may repeat or be null
+
+
+def _numbered(docs: DataFrame, ordered: bool = False) -> DataFrame:
+    """``docs`` with ROW, written so that numbers stay. ``ordered``: numbers ascend with doc_id, null ids come last."""
+    if ordered:
+        docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))  # the digest divides a repeated id
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _keep(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The numbered rows (all their columns but the number) whose ROW is in ``numbers``."""
+    return rows.join(numbers, ROW, "left_semi").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, toxicity.score(docs, model).filter("predicted = 0").select("doc_id"))
+    rows = _numbered(docs)
+    return _keep(rows, toxicity.score(rows, model, key=ROW).filter("predicted = 0").select(F.col("doc_id").alias(ROW)))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark)
-    kept = cut(exact_dedup.deduplicate(docs, index, edges=exact_dedup.halves(docs)).filter("kept").select("doc_id"))
+    """One row per equal text: that of the smallest doc_id."""
+    rows, index = _numbered(docs, ordered=True), exact_dedup.DigestIndex(spark)
+    kept = cut(exact_dedup.deduplicate(rows, index, key=ROW, edges=exact_dedup.halves(rows, ROW)).filter("kept").select(ROW))
     index.drop()
-    return _keep(docs, kept)
+    return _keep(rows, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, ngram_join.near_classes(docs).filter("doc_id = component_id").select("doc_id"))
+    """One row per component: that of the smallest doc_id."""
+    rows = _numbered(docs, ordered=True)
+    return _keep(rows, ngram_join.near_classes(rows, key=ROW).filter("doc_id = component_id").select(F.col("doc_id").alias(ROW)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Coverage limit 0: a document that holds any benchmark window goes."""
-    overlaps = decontaminate.find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, overlaps.filter(F.size("hits") == 0).select("doc_id"))
+    rows = _numbered(docs)
+    overlaps = decontaminate.find_overlaps(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
+    return _keep(rows, overlaps.filter(F.size("hits") == 0).select(F.col("doc_id").alias(ROW)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -402,3 +402,39 @@ def test_pipeline_stages(spark):
         assert now <= ids
         docs, ids = (spark.createDataFrame(out.collect(), out.schema) if name != P.STAGES[-1][0] else out), now
     assert docs.filter("NOT round_trip").count() == 0
+
+
+def test_pipeline_rows_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as P
+    from dyadlab.llm import toxicity
+
+    r, words = random.Random(11), vocabulary()
+    item = " ".join(words[:12])
+    near = " ".join(words[100:160])
+    rows = [(1, "a  b"), (1, "a b"), (1, "a b"), (1, "c d"), (None, "e f"), (None, "e f"), (None, "a b"), (2, "a b"), (None, None), (7, near), (None, near + " more"), (7, "other " + near)]
+    rows += [(5, "clean text"), (5, f"x {item} y"), (None, f"{item} z"), (None, "clean too")]
+    for i in range(60):
+        rows.append((20 + i // 2, " ".join(r.choice(words) for _ in range(12)) + (" grumbleworm snotbucket" if i % 2 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(20 + i, i % 2) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = lambda stage: Counter((x.doc_id, x.text) for x in stage(spark, docs, str(tmp_path)).collect())
+
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    texts = sorted({t or "" for _, t in rows})
+    says = {texts[x.doc_id]: x.predicted for x in toxicity.score(frame(spark, texts), model).collect()}
+    assert got(P.drop_toxic) == Counter(x for x in rows if not says[x[1] or ""])
+
+    first = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0))
+    kept = {}
+    for i, t in first:
+        kept.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    left = got(P.drop_copies)
+    assert Counter((re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) for i, t in left.elements()) == Counter(kept.items())
+
+    components = brute_classes([t for _, t in first])
+    assert Counter(i for i, _ in got(P.drop_near_copies).elements()) == Counter(first[k][0] for k, (_, c) in components.items() if k == c)
+
+    grams = {tuple(words_of(item)[k : k + 10]) for k in range(3)}
+    held = lambda t: any(tuple(words_of(t)[k : k + 10]) in grams for k in range(len(words_of(t))))
+    assert got(P.drop_contaminated) == Counter(x for x in rows if not held(x[1]))
