@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadlab.llm import chat, decontaminate, exact_dedup, licenses, ngram_join, sentencepiece_codec, sharding, token_counts, toxicity, urls
+from dyadlab.llm import alignment, chat, decontaminate, exact_dedup, licenses, ngram_join, quality_lines, sentencepiece_codec, sharding, token_counts, toxicity, urls, whitening
 from dyadlab.session import cut
 
 SHARDS = 40
@@ -65,9 +65,28 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, folder, "documents"), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_chat_format, op4_decontaminate, op5_toxicity, op6_license_scan, op7_exact_dedup, op8_token_counts, op9_sentencepiece, op10_sharding)}
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.link_report(cut(alignment.align(table(spark, folder, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_quality_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_lines.clean(table(spark, folder, "documents"), with_text=False)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_url_filter, op3_chat_format, op4_decontaminate, op5_toxicity, op6_license_scan, op7_exact_dedup, op8_token_counts, op9_sentencepiece, op10_sharding,
+        op11_token_alignment, op12_whitening, op13_quality_lines,
+    )
+}
 
 SQL = {
+    "op13_quality_lines": quality_lines.SQL,
     "op1_ngram_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
