@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadlab.llm.components import components
+from dyadlab.llm.storage import Shelf, release
 from dyadlab.llm.words import SPACES, Words, mix, pieces, shingle_sets
 from dyadlab.session import cut
 
@@ -257,14 +258,59 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows that repeat an id are one document that links by any of its texts.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    profile = cut(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long, parity array<long>, slots array<int>, counts array<int>"))
+    candidates = f"near_copy_texts_{uuid.uuid4().hex}"
+    with Shelf(docs.sparkSession) as shelf:
+        try:
+            member, links = _links(docs, shelf, candidates)
+        finally:
+            docs.sparkSession.sql(f"DROP TABLE IF EXISTS {candidates}")
+        found = cut(components(links))
+        out = cut(member.join(found, member.rep == found.node, "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
+    release(docs.sparkSession)
+    return out
+
+
+def _links(docs: DataFrame, shelf: Shelf, candidates: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, parity, rep) of every document and the links (a, b) of representatives. Each result is written before the next is
+    begun, and functions of their own build them, so that nothing holds on to the shuffles behind them."""
+    profile = shelf.put(docs.mapInArrow(_profile, "kind int, a long, n long, x long, y long, parity array<long>, slots array<int>, counts array<int>"))
+    member = shelf.put(_members(profile))
+    levels = _levels(profile)
+    shelf.drop(profile)
+    folded = shelf.put(_folded(docs, levels, member))
+    filed = shelf.put(_filed(folded))
+    sizes = shelf.put(folded.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n")))
+    shelf.drop(folded)
+    stars = shelf.put(_stars(filed))
+    # one exchange of the texts: the join and the buckets use the same partitions
+    wanted = filed.select(F.col("rep").alias("doc")).distinct()
+    chosen = docs.repartition(BUCKETS, "doc").join(wanted.repartition(BUCKETS, "doc").hint("merge"), "doc", "left_semi")
+    _with_parity(chosen).write.bucketBy(BUCKETS, "doc").sortBy("doc").format("parquet").saveAsTable(candidates)
+    del chosen, wanted
+    release(docs.sparkSession)
+    texts = docs.sparkSession.table(candidates)
+    tried = shelf.put(_verified(_possible(stars, texts, sizes), texts))
+    links = tried.filter("linked").select("a", "b")
+    label = cut(components(links))
+    left = shelf.put(_open_lines(filed, label, member))
+    shelf.drop(filed)
+    rest = shelf.put(_open_pairs(left, stars))
+    shelf.drop(left)
+    more = shelf.put(_verified(_possible(rest, texts, sizes), texts)).filter("linked").select("a", "b")
+    return member, links.unionByName(more)
+
+
+def _members(profile: DataFrame) -> DataFrame:
     sets = profile.filter("kind = 0").select(F.col("a").alias("doc"), "n", "x", "y", "parity")
     classes = sets.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
-    member = cut(sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", "parity", F.coalesce("rep", "doc").alias("rep")))
-    entries = _entries(docs, _levels(profile))
+    return sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", "parity", F.coalesce("rep", "doc").alias("rep"))
+
+
+def _folded(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray], member: DataFrame) -> DataFrame:
+    """(key, rep, role, part, step, votes, n): the keys held by two documents or more, those of the same holders made one."""
     doc, bits = F.col("doc"), lambda at, width: F.pmod(F.shiftright("mark", at), F.lit(1 << width)).cast("int")
     under = Window.partitionBy("key")
-    held = entries.select("key", "doc", "mark", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
+    held = _entries(docs, levels).select("key", "doc", "mark", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
     # keys of a step held by the same documents are one: what counts is the group, and how many keys it shares
     marked = held.select(F.xxhash64("holders", "rough", "group", bits(10, 6)).alias("key"), doc.alias("doc"), bits(0, 2).alias("role"), bits(2, 8).alias("part"), bits(10, 6).alias("step"))
     shared = marked.groupBy("key", "doc").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.min("part").alias("part_low"), F.max("step").alias("step"), F.count(F.lit(1)).alias("votes"))
@@ -272,37 +318,34 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     folded = shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(
         F.max("role").alias("role"), F.max("part").alias("part"), F.max("step").alias("step"), F.max("votes").alias("votes"), F.max("n").alias("n"),
         ((F.min("part_low") < F.max("part")) | (F.min("n") < F.max("n"))).alias("several"))
-    folded = cut(folded.withColumn("role", F.when(F.col("several"), PLAIN).otherwise(F.col("role"))).drop("several"))
+    return folded.withColumn("role", F.when(F.col("several"), PLAIN).otherwise(F.col("role"))).drop("several")
+
+
+def _filed(folded: DataFrame) -> DataFrame:
     least = folded.groupBy("key").agg(F.min("rep").alias("low"), F.min_by("n", "rep").alias("low_n"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    filed = cut(folded.join(least, "key"))
+    return folded.join(least, "key")
+
+
+def _stars(filed: DataFrame) -> DataFrame:
     stars = filed.filter((F.col("rep") != F.col("low")) & _fits("n", "low_n")).groupBy("low", "rep").agg(F.sum("votes").alias("votes"))
-    stars = stars.groupBy("rep").agg(F.max_by("low", F.struct("votes", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    wanted = filed.select(F.col("rep").alias("doc")).distinct()
-    candidates = f"near_copy_texts_{uuid.uuid4().hex}"
-    # one exchange of the texts: the join and the buckets use the same partitions
-    chosen = docs.repartition(BUCKETS, "doc").join(wanted.repartition(BUCKETS, "doc").hint("merge"), "doc", "left_semi")
-    _with_parity(chosen).write.bucketBy(BUCKETS, "doc").sortBy("doc").format("parquet").saveAsTable(candidates)
-    texts = docs.sparkSession.table(candidates)
-    sizes = folded.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
-    stars = cut(stars)
-    tried = cut(_verified(_possible(stars, texts, sizes), texts))
-    links = tried.filter("linked").select("a", "b")
-    label = cut(components(links))
+    return stars.groupBy("rep").agg(F.max_by("low", F.struct("votes", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
+
+
+def _open_lines(filed: DataFrame, label: DataFrame, member: DataFrame) -> DataFrame:
+    """The filed lines of keys whose classes are not all in one component yet."""
     left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "step", "n", F.coalesce("component", "rep").alias("component"))
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     # a repeated id with two sets has no parity of its own, and its pairs go on to be verified
     short = member.groupBy(F.col("rep").alias("of")).agg(F.when(F.min("parity") == F.max("parity"), F.min("parity")).alias("parity"))
     left = left.join(open_keys, "key")
-    left = cut(left.join(short, left.rep == short.of).drop("of"))
+    return left.join(short, left.rep == short.of).drop("of")
+
+
+def _open_pairs(left: DataFrame, stars: DataFrame) -> DataFrame:
     other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component")])
     left_over = _allowance()
     met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
     flips = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
     met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True))
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_verified(_possible(rest, texts, sizes), texts)).filter("linked").select("a", "b")
-    docs.sparkSession.sql(f"DROP TABLE {candidates}")
-    found = components(links.unionByName(more))
-    out = member.join(found, member.rep == found.node, "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
