@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ from dyadlab.session import cut
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 SIDE = 1 << 24  # an id pair is a * SIDE + b
-CACHE_CHUNKS, CACHE_CHARS = 1 << 17, 1 << 25  # distinct chunks, and characters in them, that a task remembers before it starts anew
+CACHE_CHUNKS, CACHE_CHARS = 1 << 18, 1 << 25  # distinct chunks, and characters in them, that a task remembers before it starts anew
 BATCH_BYTES = 1 << 20
 HOT_PAIRS = 1 << 16  # most frequent pairs whose counts are broadcast; of all others, each has at most a 1/HOT_PAIRS of all links
 PAIRS_HELD = 1 << 21  # distinct pairs a task counts before it sends them on
@@ -72,6 +74,7 @@ class Alignment:
 
     end_a: np.ndarray
     end_b: np.ndarray
+    common: np.ndarray
     overlap: Csr
     group_a: Csr
     group_b: Csr
@@ -98,7 +101,7 @@ def align_tokens(sizes_a: np.ndarray, sizes_b: np.ndarray) -> Alignment:
     def groups(end: np.ndarray) -> Csr:
         return Csr(np.arange(len(end) + 1), np.searchsorted(common, end), np.ones(len(end), np.int64), len(common))
 
-    return Alignment(end_a, end_b, row_products(a, b.transposed()), groups(end_a), groups(end_b))
+    return Alignment(end_a, end_b, common, row_products(a, b.transposed()), groups(end_a), groups(end_b))
 
 
 # ---- tokenizers
@@ -111,10 +114,18 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed value: the public pattern of byte-level vocabularies
+COMMON_SCRIPTS = "\u0530"  # below it stand letters on whose classes all Unicode versions agree
+
+
 class TokenizerPair:
+    """A is read from its JSON file. Where ids are in merge order, as they are in this family, merging by rank is the same and a
+    faster library does it; texts with rarer scripts go through the first library, whose character classes then decide."""
+
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -127,11 +138,25 @@ class TokenizerPair:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.size_a, self.size_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
-        self.name = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        in_order = all(x < y for x, y in zip(merged, merged[1:])) and len(merged) + 256 == len(model["vocab"]) - len(set(self.a.get_added_tokens_decoder()) & set(model["vocab"].values()))
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if all(c in alphabet for c in t)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
+        # ids as text, followed by what can stand after a token of a group
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.written = np.array([[f"{i}{mark}" for i in range(most)] for mark in (",", "|", ";", "")], object)
+
+    def quick(self, text: str) -> bool:
+        return self.fast is not None and (text.isascii() or max(text) < COMMON_SCRIPTS)
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that begins with a space (which B adds by itself)."""
+        return self.fast.encode_ordinary(text) if self.quick(text) else self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of chunks that begin with a space (which B adds by itself)."""
-        return [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)], self.b.encode([c[1:] for c in chunks], num_threads=1)
+    def covers(self, text: str, ids_a: list[int], ids_b: list[int]) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, ids_a)) == text.encode() == b"".join(map(self.bytes_b.__getitem__, ids_b))
 
 
 @lru_cache(maxsize=2)
@@ -139,10 +164,13 @@ def tokenizers(path_a: str, path_b: str) -> TokenizerPair:
     return TokenizerPair(path_a, path_b)
 
 
-# A cut stands before a space, not the last character, that follows a character which no tokenizer counts as white space. Both split there and neither
-# looks back across it: A's words begin at such a space, and no piece of B holds a space mark after another character. So the
-# tokens of a text are those of its chunks, and every cut is a common end.
-_CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\ufeff])(?= .)", re.DOTALL)
+# A cut stands before a space, not the last character, that follows a character which no tokenizer counts as white space. Both
+# split there and neither looks back across it: A's words begin at such a space, and no piece of B holds a space mark after another
+# character. So the tokens of a text are those of its chunks, every cut is a common end, and chunks may be joined in any order.
+_BLANKS = "\\s\\x1c-\\x1f\\x85\\u180e\\u200b-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\ufeff"
+_CUT = re.compile(f"(?<=[^{_BLANKS}])(?= .)", re.DOTALL)
+_BLANK_END = re.compile(f"[{_BLANKS}]\\Z")
+JOINED = 4096  # chunks that are tokenized as one text
 
 
 class ChunkTable:
@@ -156,44 +184,64 @@ class ChunkTable:
         self.numbers = np.zeros((4, 0), np.int64)  # fine, n_a, n_b, n_groups
         self.first, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
+    def _tokenized(self, chunks: list[str]) -> Iterator[tuple[list[str], list[int], list[int], bool]]:
+        """Runs of chunks with the ids of both sides; a chunk that a side does not give back byte by byte stands alone, without ids."""
+        runs, quick, slow = [], [], []
+        for c in chunks:
+            runs.append([c]) if _BLANK_END.search(c) else (quick if self.pair.quick(c) else slow).append(c)
+        runs += [some[i : i + JOINED] for some in (quick, slow) for i in range(0, len(some), JOINED)]
+        while runs:
+            run = runs.pop()
+            text = "".join(run)
+            a, b = self.pair.encode(text)
+            if self.pair.covers(text, a, b):
+                yield run, a, b, True
+            elif len(run) == 1:
+                yield run, [], [], False
+            else:
+                runs += [run[: len(run) // 2], run[len(run) // 2 :]]
+
     def add(self, chunks: list[str]) -> None:
-        pair = self.pair
-        for at in range(0, len(chunks), 8192):
-            some = chunks[at : at + 8192]
-            ids_a, ids_b = pair.encode(some)
-            whole = [b"".join([pair.bytes_a[i] for i in x]) == (c := s.encode()) == b"".join([pair.bytes_b[i] for i in y]) for s, x, y in zip(some, ids_a, ids_b)]
-            for i, fine in enumerate(whole):
-                if not fine:
-                    ids_a[i], ids_b[i] = [], []
-            n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(y) for y in ids_b], np.int64)
-            flat_a = np.array([i for x in ids_a for i in x], np.int64)
-            flat_b = np.array([i for y in ids_b for i in y], np.int64)
-            found = align_tokens(pair.size_a[flat_a], pair.size_b[flat_b])
-            link_a, link_b = found.together()
-            group_a, group_b = found.group_a.transposed(), found.group_b.transposed()  # groups against their tokens
-            group_at = np.searchsorted(group_a.column[group_a.start[:-1]], np.concatenate([[0], np.cumsum(n_a)]))
-            sides = [np.array([pair.name[i] for i in flat.tolist()], object) for flat in (flat_a[group_a.column], flat_b[group_b.column])]
-            bounds = [g.start.tolist() for g in (group_a, group_b)]
-            one = [",".join(sides[0][bounds[0][g] : bounds[0][g + 1]]) + "|" + ",".join(sides[1][bounds[1][g] : bounds[1][g + 1]]) for g in range(len(bounds[0]) - 1)]
-            edges = group_at.tolist()
-            self.groups += [";".join(one[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            link_at = np.searchsorted(link_a, np.concatenate([[0], np.cumsum(n_a)]))
-            self.numbers = np.concatenate([self.numbers, [np.array(whole, np.int64), n_a, n_b, np.diff(group_at)]], axis=1)
-            self.first = np.concatenate([self.first, self.first[-1] + link_at[1:]])
-            self.links = np.concatenate([self.links, flat_a[link_a] * SIDE + flat_b[link_b]])
+        done = list(self._tokenized(chunks))
+        flat_a, flat_b = (np.array(list(itertools.chain.from_iterable(x[k] for x in done)), np.int64) for k in (1, 2))
+        order = [c for run, *_ in done for c in run]
+        fine = np.repeat(np.array([x[3] for x in done], bool), [len(x[0]) for x in done])
+        found = align_tokens(self.pair.size_a[flat_a], self.pair.size_b[flat_b])
+        ends = np.cumsum(np.where(fine, [len(c.encode()) for c in order], 0))
+        group_a, group_b = found.group_a.column, found.group_b.column
+        upto = [np.concatenate([[0], np.searchsorted(end, ends, "right")]) for end in (found.end_a, found.end_b)]
+        if len(ends) and not np.isin(ends[fine], found.end_a[upto[0][1:][fine] - 1]).all():
+            raise AssertionError("a chunk does not end with a token")
+        edges = np.concatenate([[0], np.searchsorted(found.common, ends, "right")])
+        # the tokens of a group stand side by side, those of A first
+        n = found.group_a.width
+        before_a, before_b = np.searchsorted(group_a, np.arange(n + 1)), np.searchsorted(group_b, np.arange(n + 1))
+        after_a = np.concatenate([(group_a[1:] != group_a[:-1]), [True]])[: len(group_a)].astype(np.int64)
+        after_b = np.concatenate([(group_b[1:] != group_b[:-1]), [True]])[: len(group_b)] * 2
+        after_b[upto[1][1:][fine] - 1] = 3
+        words = np.empty(len(flat_a) + len(flat_b), object)
+        words[np.arange(len(flat_a)) + before_b[group_a]] = self.pair.written[after_a, flat_a]
+        words[np.arange(len(flat_b)) + before_a[group_b + 1]] = self.pair.written[after_b, flat_b]
+        listed, bounds = words.tolist(), (upto[0] + upto[1]).tolist()
+        self.groups += ["".join(listed[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        link_a, link_b = found.together()
+        self.numbers = np.concatenate([self.numbers, [fine, np.diff(upto[0]), np.diff(upto[1]), np.diff(edges)]], axis=1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.searchsorted(link_a, upto[0][1:])])
+        self.links = np.concatenate([self.links, flat_a[link_a] * SIDE + flat_b[link_b]])
+        for c in order:
+            self.slot[c] = len(self.slot)
+            self.chars += len(c)
 
     def lookup(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
         """Number of chunks of each text, and their slots."""
         parts = [_CUT.split(" " + t) if t else [] for t in texts]
         if len(self.slot) > CACHE_CHUNKS or self.chars > CACHE_CHARS:
             self.__init__(self.pair)
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in self.slot))
-        for c in new:
-            self.slot[c] = len(self.slot)
-            self.chars += len(c)
-        self.add(new)
-        slot = self.slot
-        return np.array([len(p) for p in parts], np.int64), [[slot[c] for c in p] for p in parts]
+        new = set().union(*parts).difference(self.slot)
+        if new:
+            self.add(sorted(new))
+        slot = self.slot.__getitem__
+        return np.array([len(p) for p in parts], np.int64), [list(map(slot, p)) for p in parts]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -222,7 +270,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", path_a: str
             for a, b in zip(edges[:-1], edges[1:]):
                 texts = all_texts[a:b]
                 size, slots = table.lookup(texts)
-                flat = np.array([s for p in slots for s in p], np.int64)
+                flat = np.fromiter(itertools.chain.from_iterable(slots), np.int64, int(size.sum()))
                 bounds = np.concatenate([[0], np.cumsum(size)])
                 fine = np.array([table.numbers[0, p].all() and len(p) > 0 for p in slots], bool)
                 sums = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(table.numbers[1:, flat], axis=1)], axis=1)

@@ -66,7 +66,7 @@ def brute_alignment(texts):
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT_PAIRS": 5, "PAIRS_HELD": 30, "CACHE_CHUNKS": 20, "BATCH_BYTES": 300}])
+@pytest.mark.parametrize("limits", [{}, {"HOT_PAIRS": 5, "PAIRS_HELD": 30, "CACHE_CHUNKS": 20, "BATCH_BYTES": 300, "JOINED": 3}])
 def test_alignment_is_that_of_whole_texts(spark, monkeypatch, limits):
     from dyadlab.llm import alignment
     from dyadlab.session import cut
