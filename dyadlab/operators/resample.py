@@ -101,16 +101,16 @@ def _adjusted(fraction_less: float, acceleration: float, alpha: float) -> float:
 
 def bca_interval(
     values: DataFrame, value: str, replicates: int, seeds: Sequence[int], keys: Sequence[str] = ("endpoint",),
-    alphas: tuple[float, float] = (0.025, 0.975),
+    alphas: tuple[float, float] = (0.025, 0.975), resample: Callable[[DataFrame, str, int, Sequence[int], Sequence[str]], DataFrame] = bootstrap_means,
 ) -> DataFrame:
-    """Bias-corrected accelerated interval per key and seed.
+    """Bias-corrected accelerated interval per key and seed. ``resample`` gives the means of the replicates.
 
     Fewer than two units, or no finite value: not estimable. No spread at all: a point mass that never counts as significant.
     Only one line per key and seed reaches the driver, to place the two quantiles.
     """
     x = F.col(value)
     finite = values.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < N(float("inf"))))
-    means = bootstrap_means(finite, value, replicates, seeds, keys)
+    means = resample(finite, value, replicates, seeds, keys)
     from dyadlab.session import cut
 
     means = cut(means)
