@@ -109,8 +109,9 @@ def _known(words: Words, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, (vocabulary[at] == h) if len(vocabulary) else np.zeros(len(h), bool)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One line per document: doc_id, n_words, hits, items, bytes.
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """One line per document: doc_id, n_words, hits, items, bytes. With ``carry`` every row of ``docs`` has a line, null ids included,
+    and ``row``, a struct of all its columns, stands in the place of doc_id.
 
     Words are runs of a-z, 0-9 and non-ASCII of the lower-cased text. A window is ``window`` consecutive words of an
     item, or all words of a shorter one. ``hits`` are the merged word spans [start, end) inside any occurrence of a
@@ -126,7 +127,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     counted = benchmark.filter(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"))
     total = counted.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    out = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), *[F.array().cast(t).alias(c) for c, t in (("hits", "array<struct<start:int,end:int>>"), ("items", "array<long>"), ("bytes", "array<struct<start:int,end:int>>"))])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.lit(None).cast("boolean").alias("row")
+    name = F.lit(0).cast("long") if carry else F.col(key).cast("long")
+    out = docs.select(name.alias("doc_id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), *[F.array().cast(t).alias(c) for c, t in (("hits", "array<struct<start:int,end:int>>"), ("items", "array<long>"), ("bytes", "array<struct<start:int,end:int>>"))], own)
     for shard in range(shards):
         rows = counted.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()  # about SHARD_WORDS words
         automaton = SuffixAutomaton(window)
@@ -148,6 +151,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                     before = before.filter(before.column(0).is_valid())
                 earlier = iter(zip(before.column(3).to_pylist(), before.column(4).to_pylist()))
                 done: dict[str, list] = {c: [] for c in ("doc_id", "text", "n_words", "hits", "items", "bytes")}
+                place = 0
                 for keys, texts in pieces(iter([before])):
                     words = Words(texts, MARKS)
                     at, known = _known(words, vocabulary)
@@ -175,12 +179,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                         done["hits"].append([{"start": s, "end": e} for s, e in hits])
                         done["items"].append(sorted(items | set(old_items)))
                         done["bytes"].append([{"start": int(words.start[first + s]) - base, "end": int(words.end[first + e - 1]) - base} for s, e in hits])
+                    place += len(texts)
+                if place != before.num_rows:
+                    raise AssertionError("a row was lost")
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 kinds = {"doc_id": pa.int64(), "text": pa.string(), "n_words": pa.int64(), "hits": span, "items": pa.list_(pa.int64()), "bytes": span}
-                yield pa.RecordBatch.from_arrays([pa.array(done[c], pa.binary()).cast(pa.string()) if c == "text" else pa.array(done[c], kinds[c]) for c in done], names=list(done))
+                yield pa.RecordBatch.from_arrays([*[pa.array(done[c], pa.binary()).cast(pa.string()) if c == "text" else pa.array(done[c], kinds[c]) for c in done], before.column(6)], names=[*done, "row"])
 
-        out = out.mapInArrow(walk, "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<long>, bytes array<struct<start:int,end:int>>")
-    return out.drop("text")
+        out = out.mapInArrow(walk, "doc_id long, text string, n_words long, hits array<struct<start:int,end:int>>, items array<long>, bytes array<struct<start:int,end:int>>, row " + out.schema["row"].dataType.simpleString())
+    return out.drop("text", "doc_id") if carry else out.drop("text", "row")
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadlab.llm.words import mix, pieces
+from dyadlab.llm.words import mix, row_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -210,18 +210,19 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     """doc_id, n_tokens, ids and round_trip (decoding the ids gives the text back) of every row, without a shuffle.
 
     Whole texts are encoded. Null and empty texts have no ids and come back empty. A text that holds the space mark
-    itself is decoded with a space in its place and so reports no round trip. Null ids are left out, repeats stay.
+    itself is decoded with a space in its place and so reports no round trip. Null and repeated ids keep their lines, ids their type.
     """
+    kind_of_key = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, kind)
-        for keys, texts in pieces(batches):
+        for rows, texts in row_pieces(batches, 1):
             offsets, ids = c.encode([(t or b"").decode() for t in texts])
             back = c.decode(offsets, ids)
             same = [b == (t or b"") for b, t in zip(back, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind_of_key}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
@@ -235,4 +236,4 @@ def decode(encoded: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFra
             texts = c.decode(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadlab.llm.words import SPACES, Words, pieces
+from dyadlab.llm.words import SPACES, Words, pieces, row_pieces
 
 TRAIN_ROWS = 8_000  # labelled rows used for fitting at most, the smallest by hash of the key
 DICTIONARY_BYTES = 4096
@@ -200,3 +200,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([held_out(int(k)) for k in keys], pa.bool_()), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, that :func:`score` predicts 0 for; rows with null or repeated ids are judged like any
+    other. One scan, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scorer = Scorer(model.toxic, model.ordinary)
+        for rows, texts in row_pieces(batches, at):
+            yield rows.filter(pa.array(model.score(*scorer.features(texts)) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

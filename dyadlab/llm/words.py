@@ -69,7 +69,7 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     h, out = words.hashes(), []
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(h) - width + 1), np.uint64)
-        for k in range(width):
+        for k in range(width if len(rolled) else 0):  # all texts of a piece together can have fewer words
             rolled += mix(h[k : len(h) - width + 1 + k], k + 1)
         rolled = mix(rolled, width)
         for a, b in zip(words.first[:-1], words.first[1:]):
@@ -102,3 +102,15 @@ def pieces(batches: Iterator[pa.RecordBatch], key: int = 0, text: int = 1) -> It
                 start, size = i + 1, 0
         if start < len(texts):
             yield ids[start:], texts[start:]
+
+
+def row_pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch stream, some CHUNK_BYTES of text each, with their UTF-8 texts. All rows are there, whatever their ids."""
+    for batch in batches:
+        texts = batch.column(text).cast(pa.binary()).to_pylist()
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or b"") + 1
+            if size >= CHUNK_BYTES or i + 1 == len(texts):
+                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
+                start, size = i + 1, 0
