@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators.cohort import DEVELOPMENT, HOLDOUT, content_hash
 from dyadlab.operators.pairs import SIDE, UNIT
+from dyadlab.sources.commit import publish, require_fresh
 from dyadlab.sources.sinks import exists, ledger_mismatches, require_absent, table_ledger
 from dyadlab.sources.tables import require_manifest, stage_rows
 
@@ -64,6 +65,50 @@ class Gate:
             raise AccessDenied(f"units of stage {stage} have no rows")
         return selected
 
+    def execute(
+        self, rows: DataFrame, manifest: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, sealed: dict[str, DataFrame], endpoints: Sequence[str], fields: dict[str, str] | None = None,
+    ) -> DataFrame:
+        """Score the holdout once, behind the gate, and commit predictions and execution record together; return the record.
+
+        ``score`` maps the stage's rows to predictions (unit_id, side, endpoint, ...). Refused: a second run, a run over the
+        remains of an interrupted one, a stage that :meth:`read_stage` refuses or that lacks one of the two sides of a unit,
+        predictions that do not cover every held-out unit and side exactly once for each of ``endpoints``, other endpoints.
+        """
+        spark = rows.sparkSession
+        require_fresh(spark, target)
+        stage = self.read_stage(rows, manifest, HOLDOUT, sealed)
+        held = manifest.filter(F.col("partition") == HOLDOUT).select(UNIT)
+        _require_both_sides(stage)
+
+        def covered(tables: dict[str, DataFrame]) -> None:
+            gaps = coverage_gaps(tables["predictions"], held, endpoints).limit(5).collect()
+            if gaps:
+                raise AccessDenied(f"predictions do not cover the holdout: {[tuple(g) for g in gaps]}")
+
+        record = {"status": "EXECUTED", "execution_count": "1", "manifest_hash": self.manifest_hash, "used_for_selection": "false", **(fields or {})}
+        return publish(spark, {"predictions": score(stage)}, target, record, covered)
+
+
+def _require_both_sides(rows: DataFrame) -> None:
+    """Two rows a unit, one a side."""
+    odd = rows.groupBy(UNIT).agg(F.count("*").alias("n"), F.count_if(F.col(SIDE) == 1).alias("r"), F.count_if(F.col(SIDE) == 2).alias("l")).filter("NOT (n = 2 AND r = 1 AND l = 1)")
+    if not odd.isEmpty():
+        raise AccessDenied(f"units without exactly one row a side: {[r[UNIT] for r in odd.limit(5).collect()]}")
+
+
+def coverage_gaps(predictions: DataFrame, units: DataFrame, endpoints: Sequence[str]) -> DataFrame:
+    """(endpoint, unit_id, rows): units of an expected endpoint without exactly one row a side, and what is there unexpected."""
+    listed = predictions.sparkSession.createDataFrame([(e,) for e in endpoints], "endpoint string")
+    # a line per unit and endpoint that must be there, made on the units' side; endpoints are a short registered list
+    wanted = units.withColumn("endpoint", F.explode(F.array(*map(F.lit, endpoints)))).withColumn("wanted", F.lit(True)) if endpoints else units.limit(0).withColumns({"endpoint": F.lit(""), "wanted": F.lit(True)})
+    found = predictions.groupBy("endpoint", UNIT).agg(F.count("*").alias("rows"), F.count_if(F.col(SIDE) == 1).alias("r"), F.count_if(F.col(SIDE) == 2).alias("l"))
+    both = wanted.join(found, ["endpoint", UNIT], "full")
+    fine = F.coalesce(F.col("wanted") & (F.col("rows") == 2) & (F.col("r") == 1) & (F.col("l") == 1), F.lit(False))
+    missing = both.filter(~fine).select("endpoint", UNIT, F.coalesce("rows", F.lit(0)).alias("rows"))
+    # an endpoint that is expected where there are no units at all
+    absent = listed.join(found.select("endpoint").distinct(), "endpoint", "left_anti").select("endpoint", F.lit(None).cast(units.schema[UNIT].dataType).alias(UNIT), F.lit(0).cast("long").alias("rows"))
+    return missing.unionByName(absent)
+
 
 # -- validation --------------------------------------------------------------------------------------------------
 
