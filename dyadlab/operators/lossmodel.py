@@ -6,7 +6,7 @@ solved from those small matrices.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadlab.functions import scalars as S
+from dyadlab.operators.brackets import subset_quantiles
 from dyadlab.operators.ordering import exact_quantiles
 
 # Fixed values.
@@ -131,3 +132,13 @@ def spline_knots(pairs: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarra
     z = pairs.select(*keys, F.explode(F.array("z_r", "z_l")).alias("z"))
     names = {f"k{i}": i / (KNOTS - 1) for i in range(KNOTS)}
     return {tuple(r[k] for k in keys): np.array([r[n] for n in names]) for r in exact_quantiles(z, "z", names, keys).collect()}
+
+
+def subset_knots(frame: DataFrame, columns: Sequence[str], members: Callable[[dict[str, np.ndarray]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """The knots of :func:`spline_knots` for overlapping subsets of wide lines, without a line per subset: ``members(batch)`` gives the
+    mask of each subset that has lines in the batch. ``frame`` is read a few times, so store it."""
+
+    def values(c: dict[str, np.ndarray]) -> dict[int, np.ndarray]:
+        return {k: np.concatenate([c["z_r"][who], c["z_l"][who]]) for k, who in members(c).items()}
+
+    return subset_quantiles(frame.select(*columns, "z_r", "z_l"), values, [i / (KNOTS - 1) for i in range(KNOTS)])

@@ -144,9 +144,12 @@ def run_nested(pairs: DataFrame, plan: Plan) -> NestedResult:
         scores.join(parameters, [*keys, "fold"]).withColumn("set_code", (code * plan.folds + F.col("assessed")).cast("int")), plan)
 
     # loss models: knots and cross-products per training set (-1: all inner folds), then every alpha from one matrix
-    in_sets = frame.filter("fold >= 0").withColumn("left_out", F.explode(F.filter(F.sequence(F.lit(-1), F.lit(plan.inner - 1)), lambda k: k != F.col("fold"))))
     width = plan.inner + 1
-    knots = {k[0] * width + k[1] + 1: v for k, v in L.spline_knots(in_sets, ["set_code", "left_out"]).items()}
+
+    def subsets(c: Columns) -> dict[int, np.ndarray]:
+        return {s * width + left + 1: (c["set_code"] == s) & (c["fold"] >= 0) & (c["fold"] != left) for s in np.unique(c["set_code"]).tolist() for left in range(-1, plan.inner)}
+
+    knots = L.subset_knots(frame, ["set_code", "fold"], subsets)
 
     def member(c: Columns, k: int) -> np.ndarray:
         left = k % width - 1
@@ -262,7 +265,7 @@ def fit_final(result: NestedResult, plan: Plan) -> FrozenStack:
     fitted = Q.fit_calibrators(_sides(oof, ["endpoint"]), ["endpoint"], plan.methods).join(F.broadcast(picks.select("endpoint", "method")), ["endpoint", "method"])
     code = (F.array_position(F.array(*map(F.lit, plan.endpoints)), F.col("endpoint")) - 1).cast("int")
     frame = _loss_frame(oof.drop("method").join(F.broadcast(fitted.drop("converged")), "endpoint").withColumn("set_code", code), plan)
-    knots = {k[0]: v for k, v in L.spline_knots(frame, ["set_code"]).items()}
+    knots = L.subset_knots(frame, ["set_code"], lambda c: {s: c["set_code"] == s for s in np.unique(c["set_code"]).tolist()})
     products = _fit_products(frame, knots, lambda c, k: c["set_code"] == k)
     heads, losses = [], []
     for i, e in enumerate(plan.endpoints):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dyadlab.functions import scalars as S
 from dyadlab.operators import calibrate as Q
 from dyadlab.operators import heads as H
+from dyadlab.operators import lossmodel as L
 from dyadlab.operators import nested as T
 from dyadlab.operators import ranking as R
 from dyadlab.operators import resample as B
@@ -80,6 +81,23 @@ def schema_contract(spark, folder):
     return T.schema_contract(T.fit_final(nested(spark, folder), PLAN).losses)
 
 
+@query("subset_knots", PAIRS_SQL + """, s AS (SELECT p.endpoint, CAST(l.x AS INTEGER) - 1 AS left_out, UNNEST([p.z_r, p.z_l]) AS z FROM pair p JOIN range(4) l(x) ON p.unit_id % 3 <> l.x - 1)
+SELECT endpoint, left_out, COUNT(*) AS values, ROUND(QUANTILE_CONT(z, 0.0), 8) AS k0, ROUND(QUANTILE_CONT(z, 0.25), 8) AS k1, ROUND(QUANTILE_CONT(z, 0.5), 8) AS k2, ROUND(QUANTILE_CONT(z, 0.75), 8) AS k3, ROUND(QUANTILE_CONT(z, 1.0), 8) AS k4
+FROM s GROUP BY endpoint, left_out""")
+def subset_knots(spark, folder):
+    """Spline knots of the logits of each endpoint on all units and with each third of the units left out, in shared passes."""
+    place = (F.array_position(F.array(*map(F.lit, ENDPOINTS)), F.col("endpoint")) - 1).cast("int")
+    pairs = cut(pair_predictions(spark, folder).select("endpoint", place.alias("code"), F.pmod("unit_id", F.lit(3)).cast("int").alias("fold"), "z_r", "z_l"))
+
+    def subsets(c):
+        return {int(e) * 4 + left + 1: (c["code"] == e) & (c["fold"] != left) for e in set(c["code"].tolist()) for left in range(-1, 3)}
+
+    found = L.subset_knots(pairs, ["code", "fold"], subsets)
+    knots = spark.createDataFrame([(ENDPOINTS[k // 4], k % 4 - 1, *map(float, v)) for k, v in found.items()], "endpoint string, left_out int, " + ", ".join(f"k{i} double" for i in range(5)))
+    sizes = pairs.withColumn("left_out", F.explode(F.filter(F.array(*map(F.lit, range(-1, 3))), lambda x: x != F.col("fold")))).groupBy("endpoint", "left_out").agg((2 * F.count("*")).alias("values"))
+    return rounded(knots.join(sizes, ["endpoint", "left_out"]).select("endpoint", "left_out", "values", *[f"k{i}" for i in range(5)]))
+
+
 @query("feature_moments", """WITH e AS (SELECT CAST(UNNEST(RANGE(64)) AS INTEGER) AS position, UNNEST(embedding) AS v FROM embeddings)
 SELECT position, COUNT(*) AS rows, ROUND(AVG(CAST(v AS DOUBLE)), 8) AS mean, ROUND(CASE WHEN STDDEV_POP(v) = 0 THEN 1 ELSE STDDEV_POP(CAST(v AS DOUBLE)) END, 8) AS scale FROM e GROUP BY position""")
 def feature_moments(spark, folder):
