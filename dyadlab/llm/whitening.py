@@ -16,6 +16,7 @@ from dyadlab.session import cut
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 BLOCK_ROWS = 4096
+TASK_BYTES = 1 << 24  # of vectors that a task of a pass works on at least, since a pass is short and there are many
 RANK = 1e-12  # singular values below this share of the largest count as none
 LONG_MAX = 2**63 - 1
 
@@ -72,7 +73,9 @@ def fit_list(x: DataFrame) -> FitList:
                 out = [pa.array([len(m)], pa.int64()), pa.array([m.shape[1]], pa.int32()), pa.array([peak], pa.int64()), pa.array([m.sum(0).tolist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, names=["rows", "width", "peak", "sums", "block"])
 
-    blocks = cut(x.select("x").distinct().mapInArrow(pack, "rows long, width int, peak long, sums array<long>, block binary"))
+    distinct = cut(x.select("x").distinct())
+    size = distinct.agg(F.sum(F.size("x").cast("long") * 8)).first()[0] or 0
+    blocks = cut(distinct.coalesce(-(-size // TASK_BYTES) or 1).mapInArrow(pack, "rows long, width int, peak long, sums array<long>, block binary"))
     per_dimension = blocks.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).orderBy("at").collect()  # one line a dimension
     shape = blocks.withColumn("task", F.spark_partition_id()).agg(F.sum("rows").alias("n"), F.min("width").alias("least"), F.max("width").alias("most"), F.max("peak").alias("peak"), F.count_distinct("task").alias("tasks")).first()
     if shape["least"] != shape["most"]:
