@@ -98,7 +98,12 @@ def replicate_statistics(
     plain = wanted.select(*keys, unit, F.col(flag).cast("int").alias("_flag"), F.col(score).cast("double").alias("_score"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     bounds = score_ranges(plain, "_score", keys, shuffle_width(rows.sparkSession))
     bucket = F.size(F.filter("_bounds", lambda b: b < F.col("_score"))) * (1 if coverage else -1)
-    dealt = (plain.join(F.broadcast(bounds), list(keys)) if keys else plain.crossJoin(F.broadcast(bounds))).withColumn("_range", bucket).drop("_bounds")  # one line a key
+    if keys:
+        placed = plain.join(F.broadcast(bounds), list(keys))  # one line a key
+    else:
+        only = bounds.first()
+        placed = plain.withColumn("_bounds", F.array(*map(F.lit, (only[0] if only else None) or [])).cast("array<double>"))
+    dealt = placed.withColumn("_range", bucket).drop("_bounds")
     by = [*keys, "_range", "_flag"]
     totals = resampled_sums(dealt.withColumn("_one", F.lit(1.0)), "_one", replicates, [seed], by, populations, unit)
     marked, tree = grow(dealt, populations, unit)

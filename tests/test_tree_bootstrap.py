@@ -154,3 +154,11 @@ def test_replicates_without_a_class_are_dropped_and_counted(spark, small):
     rows = R.percentile_intervals(replicates, R.RANKING).collect()
     assert [r["valid_replicates"] for r in rows] == [good, good] and good < 200
     assert R.replicate_statistics(df.filter("false"), "y", "s", 20, 9).count() == 0
+
+
+def test_ranking_without_keys(spark, small):
+    rows, df = ranked_rows(spark)
+    fine = df.filter("endpoint = 'fine'")
+    keyed = {r["replicate"]: r["auroc"] for r in R.replicate_statistics(fine, "y", "s", 25, 9).collect()}
+    plain = {r["replicate"]: r["auroc"] for r in R.replicate_statistics(fine.drop("endpoint"), "y", "s", 25, 9, keys=()).collect()}
+    assert plain.keys() == keyed.keys() and all(plain[b] == pytest.approx(v, abs=1e-12) for b, v in keyed.items())
