@@ -27,7 +27,7 @@ NO_STEP = 63
 KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verification
 BUCKETS = 64  # of the table of candidate texts
 PARITY_BITS = 2048  # kept beside a text
-SHORT_PARITY_BITS = 2048  # of each set, carried by the lines of keys that stay open
+SHORT_PARITY_BITS = 256  # of each set, carried by the lines of keys that stay open
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
