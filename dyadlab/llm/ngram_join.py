@@ -28,6 +28,7 @@ KEY_BITS = 48  # of a key; equal keys of unlike segments only cost a verificatio
 BUCKETS = 64  # of the table of candidate texts
 PARITY_BITS = 2048  # kept beside a text
 SHORT_PARITY_BITS = 256  # of each set, carried by the lines of keys that stay open
+FIRST_KEYS = 8  # smallest open keys of each class, carried so that a pair is not formed again under its later keys
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -338,14 +339,24 @@ def _open_lines(filed: DataFrame, label: DataFrame, member: DataFrame) -> DataFr
     # a repeated id with two sets has no parity of its own, and its pairs go on to be verified
     short = member.groupBy(F.col("rep").alias("of")).agg(F.when(F.min("parity") == F.max("parity"), F.min("parity")).alias("parity"))
     left = left.join(open_keys, "key")
-    return left.join(short, left.rep == short.of).drop("of")
+    # the smallest plain keys of each class; bounded by the keys of one document
+    first = left.filter(F.col("role") == PLAIN).groupBy(F.col("rep").alias("of")).agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+    told = left.join(short, left.rep == short.of).drop("of")
+    return told.join(first, told.rep == first.of, "left").drop("of").withColumn("first", F.coalesce("first", F.array().cast("array<bigint>")))
 
 
 def _open_pairs(left: DataFrame, stars: DataFrame) -> DataFrame:
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component")])
+    """The pairs (a, b) of classes that meet under an open key, can be linked and have not been tried.
+
+    Two classes may share many keys. Of the keys that both have among their first plain ones, only the smallest forms their
+    pair: elsewhere each line knows which of them came ``before``, and a common one means that the pair exists. Classes
+    without such a key meet under each that they share, so no pair is lost whatever FIRST_KEYS is."""
+    before = F.when(F.col("role") == PLAIN, F.filter("first", lambda k: k < F.col("key"))).otherwise(F.col("first"))
+    left = left.withColumn("before", before).drop("first")
+    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component", "before")])
     left_over = _allowance()
     met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
     flips = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
-    met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True))
-    rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & met & _fits("n", "n2"))
+    met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True)) & ~F.arrays_overlap("before", "before2")
+    rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2") & met)
     return rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")

@@ -104,6 +104,26 @@ def test_near_classes_of_large_ids(spark):
     assert got == {i: min(ids[:3]) for i in ids[:3]} | {ids[3]: ids[3]}
 
 
+def test_open_pairs_are_formed_once(spark, monkeypatch):
+    from dyadlab.llm import ngram_join as J
+
+    r = random.Random(12)
+    lines = [(k, d, role, 0, J.NO_STEP, 10, [0, 0, 0, 0], d) for d in range(30) for k in r.sample(range(40), 12) for role in [J.PLAIN if r.random() < 0.8 else J.PROBE]]
+    left = spark.createDataFrame(lines, "key long, rep long, role int, part int, step int, n long, parity array<long>, component long")
+    label = spark.createDataFrame([], "node long, component long")
+    member = left.select(F.col("rep").alias("doc"), "n", "parity", "rep").distinct()
+    told = J._open_lines(left.drop("parity", "component"), label, member)
+    none = spark.createDataFrame([], "a long, b long")
+    holders = defaultdict(list)
+    for k, d, role, *_ in lines:
+        holders[k].append((d, role))
+    wanted = {(a, b) for h in holders.values() for a, x in h for b, y in h if a < b and J.PLAIN in (x, y)}
+    for first in (0, 1, 8, 100):
+        monkeypatch.setattr(J, "FIRST_KEYS", max(first, 1))
+        cut_lines = J._open_lines(left.drop("parity", "component"), label, member) if first else told.withColumn("first", F.array().cast("array<bigint>"))
+        assert {(x.a, x.b) for x in J._open_pairs(cut_lines, none).collect()} == wanted, first
+
+
 def test_components(spark):
     from dyadlab.llm.components import components
 
