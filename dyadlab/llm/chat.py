@@ -53,13 +53,29 @@ def parse_chats(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, rows))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The unescaped text under the loss runs of ``mask``, sliced from ``formatted`` by code points, in order.
+
+    Slices are taken from the string in four bytes a code point, so that each costs its own length only. Escapes never
+    cross runs, so the slices are unescaped together."""
+    wide = F.encode(formatted, "UTF-32")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<binary>").alias("out"))
+
+    def step(seen: Column, run: Column) -> Column:
+        at = seen["at"] + run["skip"]
+        piece = F.substring(wide, 4 * at + 1, 4 * run["chars"])
+        return F.struct((at + run["chars"]).alias("at"), F.when(run["loss"], F.array_append(seen["out"], piece)).otherwise(seen["out"]).alias("out"))
+
+    pieces = F.aggregate(mask, start, step)["out"]
+    mark = F.unhex(F.lit("0000FEFF"))  # says the byte order, and is not part of the text
+    return unescape(F.array_join(F.transform(pieces, lambda p: F.decode(F.concat(mark, p), "UTF-32")), ""))
+
+
 def read_back(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """Digests of what stands in the formatted strings: turns, and the unescaped texts under the loss mask."""
-    parsed = chats.withColumn("said", parse_chats(F.col("formatted")))
-    under = F.filter(F.arrays_zip("said", "loss_mask"), lambda z: z["loss_mask"]["loss"])  # the n-th run is the n-th text
-    loss = F.array_join(F.transform(under, lambda z: z["said"]["text"]), "")
+    """Digests of what stands in the formatted strings: turns, and the unescaped text under the loss mask."""
+    parsed = chats.withColumns({"said": parse_chats(F.col("formatted")), "loss": under_mask(F.col("formatted"), F.col("loss_mask"))})
     everything = F.array_join(F.transform("said", lambda s: F.concat(s["role"], F.lit("\n"), s["text"], F.lit("\n"))), "")
     return parsed.select(
         conv, F.size("said").cast("long").alias("n_turns"), F.sha2(everything, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
     )

@@ -20,7 +20,7 @@ def normal_text(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A table (digest, keep_id) in ``buckets`` buckets by digest, each file sorted by digest, that grows batch by batch.
+    """A table (digest, keep_id, batch) in ``buckets`` buckets by digest, each file sorted by digest, that grows batch by batch.
 
     A batch is reduced to one line per digest before anything is shuffled by it, then anti-joined with the index; the
     index side needs no exchange. ``name`` is a table of the session's warehouse; an index opened again by name goes on
@@ -33,7 +33,7 @@ class DigestIndex:
     def create(self, key: str = "long") -> None:
         """The empty bucketed table, unless it exists."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], f"digest binary, keep_id {key}"), self.name, "append")
+            self._write(self.spark.createDataFrame([], f"digest binary, keep_id {key}, batch string"), self.name, "append")
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -44,13 +44,18 @@ class DigestIndex:
     def _write(self, rows: DataFrame, name: str, mode: str) -> None:
         rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").mode(mode).format("parquet").saveAsTable(name)
 
-    def append(self, candidates: DataFrame) -> DataFrame:
-        """Add those (digest, keep_id) lines whose digest is new; return the lines that were added."""
+    def append(self, candidates: DataFrame, batch: str | None = None) -> DataFrame:
+        """Add those (digest, keep_id) lines whose digest is new; return them. A named batch can be given again, after a
+        failure say: what it added before still counts as new to it, and is not added twice."""
         fresh = candidates.select("digest", "keep_id")
         self.create(fresh.schema["keep_id"].dataType.simpleString())
-        old = self.read().select("digest").hint("merge")
-        fresh = cut(fresh.join(old, "digest", "left_anti"))
-        self._write(fresh, self.name, "append")
+        held = self.read() if batch is None else self.read().filter(F.col("batch") != batch)
+        fresh = cut(fresh.join(held.select("digest").hint("merge"), "digest", "left_anti"))
+        unwritten = fresh
+        if batch is not None:
+            written = self.read().filter(F.col("batch") == batch).select("digest").hint("merge")
+            unwritten = cut(fresh.join(written, "digest", "left_anti"))
+        self._write(unwritten.withColumn("batch", F.lit(batch or uuid.uuid4().hex)), self.name, "append")
         return fresh
 
     def compact(self) -> None:
@@ -61,34 +66,38 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", edges: Sequence = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: str = "text", edges: Sequence = (), batch: str | None = None) -> DataFrame:
     """One line per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
 
     ``keep_id`` is the smallest key with that text in the batch, or what the index already holds for it. ``group_size``
-    counts the batch's rows. Null texts equal empty ones. A row is ``kept`` if its key is keep_id and the text is new to
-    the index; rows that repeat key and text are all marked alike. Null keys never win against others and stay only
-    where a group has no other key (keep_id is then null and kept is false). An empty batch gives no lines.
+    counts the batch's rows. Null texts equal empty ones. Where the text is new to the index, exactly one row of its group
+    is ``kept``: the one whose key is keep_id, the first of them where rows repeat key and text. Null keys never win against
+    others in the batch; where a group has no other key, keep_id is null and its first row is kept. An empty batch gives no
+    lines. A ``batch`` given again under the same name has the same result (with the same edges), whether its first run
+    ended or not; without a name it would be all copies.
     Ascending ``edges`` cut the rows by key into batches that enter the index one after the other, each anti-joined with
-    what the earlier ones left there: null keys and keys up to the first edge, then up to the next, then the rest. The
+    what the earlier ones left there: keys up to the first edge, then up to the next, then the rest and null keys. The
     smallest key comes first, and group sizes are summed, so the result is that of one batch.
     Texts are read and hashed once; only digests are stored. Joining the rows with their group's line is a plain
     shuffled join, which adaptive execution splits where one text holds a large share of the rows.
     """
     digests = cut(docs.select(F.col(key).alias("key"), F.sha2(normal_text(F.col(text)), 256).alias("text_sha256")).withColumn("digest", F.unhex("text_sha256")))
+    digests = digests.withColumn("row", F.monotonically_increasing_id())  # of stored rows, so that it stays
     lows, highs = [None, *edges], [*edges, None]
     groups, added = [], []
-    for low, high in zip(lows, highs):
+    for i, (low, high) in enumerate(zip(lows, highs)):
         over = F.lit(True) if low is None else F.col("key") > low
-        upto = F.lit(True) if high is None else F.col("key") <= high
-        part = digests.filter((over & upto) | F.col("key").isNull() if low is None else over & upto)
-        groups.append(cut(part.groupBy("digest").agg(F.min("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))))
-        added.append(index.append(groups[-1].filter("keep_id IS NOT NULL")))
+        part = digests.filter(over & (F.col("key") <= high) if high is not None else over | F.col("key").isNull())
+        first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "row")).alias("first")
+        groups.append(cut(part.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))))
+        lines = groups[-1].select("digest", F.col("first.key").alias("keep_id"))
+        added.append(index.append(lines) if batch is None else index.append(lines, f"{batch}/{i}"))
     added = reduce(DataFrame.unionByName, added).select("digest", F.lit(True).alias("new"))
-    sizes = reduce(DataFrame.unionByName, groups).select("digest", "group_size")
-    sizes = sizes.groupBy("digest").agg(F.sum("group_size").alias("group_size")) if edges else sizes
-    held = sizes.join(index.read().hint("merge"), "digest", "left").join(added, "digest", "left")
+    sizes = reduce(DataFrame.unionByName, groups)
+    sizes = sizes.groupBy("digest").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size")) if edges else sizes
+    held = sizes.select("digest", "group_size", F.col("first.row").alias("keep_row")).join(index.read().select("digest", "keep_id").hint("merge"), "digest", "left").join(added, "digest", "left")
     out = digests.join(held, "digest")
-    kept = F.coalesce((F.col("key") == F.col("keep_id")) & F.col("new"), F.lit(False))
+    kept = F.coalesce((F.col("row") == F.col("keep_row")) & F.col("new"), F.lit(False))
     return out.select(F.col("key").alias(key), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 

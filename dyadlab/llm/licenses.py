@@ -65,7 +65,7 @@ def _aligned(words: Column, wording: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One line per document: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One line per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Every rolling word 2-gram and 3-gram is hashed and joined to the template places that hold it. Hits vote for their
     diagonal (place in the text less place in the template). For the fixed phrases a diagonal with all grams is an
@@ -73,14 +73,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     words hold VOTES of the template's grams, each counted once, is a candidate. It holds if its words, read around the
     hits, contain AGREE of the template's words in order and every telling run unbroken. ``score`` is the best such part
     of any held span (1 for a fixed phrase), 0 without one. Grams that no template has are dropped in the same projection
-    that hashes them, which leaves a few lines per document to shuffle. Null texts have no words; rows that share a key
-    are one document whose votes add up (give unique keys); null keys are left out.
+    that hashes them, which leaves a few lines per document to shuffle. Null texts have no words. Every row gets
+    a line of its own, also where keys repeat or are null: votes are counted by a number of the row.
     """
     spark = docs.sparkSession
     templates = _templates(spark)
     wanted = [r.hash for r in templates.select("hash").distinct().collect()]  # a fixed list, not data
     lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    worded = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
+    worded = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)).alias("words"))
 
     def hits(k: int) -> Column:
         hashed = F.transform("words", lambda w, i: F.struct(F.xxhash64(F.lit(k), w, *[F.get(F.col("words"), i + j) for j in range(1, k)]).alias("hash"), i.alias("at")))
@@ -89,25 +89,27 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         around = lambda x: F.slice(F.col("words"), start(x) + 1, F.lit(2 * REACH + k)) if k == TEMPLATE_GRAM else F.lit(None).cast("array<string>")
         return F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["at"].alias("at"), start(x).alias("start"), around(x).alias("around")))
 
-    counted = worded.select("key", F.size("words").cast("long").alias("n_words"), F.concat(*[hits(k) for k in (PHRASE_GRAM, TEMPLATE_GRAM)]).alias("hits"))
-    votes = counted.select("key", "n_words", F.explode_outer("hits").alias("hit")).select("key", "n_words", "hit.hash", "hit.at", "hit.start", "hit.around")
+    counted = worded.select("row", "key", F.size("words").cast("long").alias("n_words"), F.concat(*[hits(k) for k in (PHRASE_GRAM, TEMPLATE_GRAM)]).alias("hits"))
+    votes = counted.select("row", "key", "n_words", F.explode_outer("hits").alias("hit")).select("row", "key", "n_words", "hit.hash", "hit.at", "hit.start", "hit.around")
     joined = votes.join(F.broadcast(templates), "hash", "left")  # a hundred lines, fixed in this module
     joined = joined.withColumn("diagonal", F.col("at") - F.col("place"))
     first = F.greatest(F.col("diagonal") - NEAR, F.col("start"))
     joined = joined.withColumn("span", F.when(~F.col("base"), F.slice("around", first - F.col("start") + 1, F.col("diagonal") + F.col("length") + NEAR - first)))
     told = F.forall("telling", lambda run: F.concat(F.lit(" "), F.array_join("span", " "), F.lit(" ")).contains(F.concat(F.lit(" "), run, F.lit(" "))))
     joined = joined.withColumn("agreed", F.when(F.col("span").isNotNull() & told, _aligned(F.col("span"), F.col("wording")) / F.col("length")))
-    diagonals = joined.groupBy("key", "n_words", "template", "label", "base", "grams", "diagonal").agg(
+    diagonals = joined.groupBy("row", "key", "n_words", "template", "label", "base", "grams", "diagonal").agg(
         F.count("place").alias("votes"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("places"), F.max("agreed").alias("agreed"))
     exact = F.col("base") & (F.col("votes") == F.col("grams")) & (F.col("diagonal") >= 0)
     near = F.transform(F.sequence(F.lit(-NEAR), F.lit(NEAR)), lambda d: d + F.col("diagonal"))
     # each diagonal offers its votes to the neighbours; a span is where the sum of a neighbourhood is enough
     spread = diagonals.withColumn("centre", F.explode_outer(F.when(~F.col("base"), near).otherwise(F.array("diagonal"))))
-    spans = spread.groupBy("key", "n_words", "template", "label", "base", "grams", "centre").agg(
+    spans = spread.groupBy("row", "key", "n_words", "template", "label", "base", "grams", "centre").agg(
         F.bit_count(F.bit_or("places")).alias("votes"), F.max("agreed").alias("agreed"), F.max(F.when(F.col("centre") == F.col("diagonal"), F.struct(exact.alias("exact"))))["exact"].alias("exact"))
     base = F.coalesce(F.col("exact"), F.lit(False))
     held = base | (~F.col("base") & (F.col("votes") >= VOTES * F.col("grams")) & (F.col("agreed") >= AGREE))
     names = lambda condition: F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col("label")))), ",")  # noqa: E731  few labels exist
-    return spans.groupBy(F.col("key").alias(key)).agg(
+    by_row = spans.groupBy("row").agg(
+        F.first("key").alias(key),
         F.max("n_words").alias("n_words"), F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("centre"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("centre"))).cast("long").alias("last_word"),
         names(base).alias("base_labels"), names(held).alias("labels"), F.coalesce(F.max(F.when(held, F.when(base, F.lit(1.0)).otherwise(F.col("agreed")))), F.lit(0.0)).alias("score"))
+    return by_row.drop("row")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +20,19 @@ def _unit(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _splitters(rows: DataFrame, count: int, total: int, salt: int) -> list[int]:
-    """About ``count`` quantile boundaries of ``place``, each row drawn in proportion to its size. The sample has about
+def _splitters(rows: DataFrame, ways: int, total: int, salt: int) -> list[int]:
+    """About ``ways`` quantile boundaries of ``place``, each row drawn in proportion to its size. The sample has about
     SAMPLES_PER_RANGE lines per boundary, so its size depends on the number of ranges alone."""
-    if count < 1 or total <= 0:
+    if ways < 1 or total <= 0:
         return []
-    wanted = count * SAMPLES_PER_RANGE
+    wanted = ways * SAMPLES_PER_RANGE
     drawn = F.floor(F.col("size") * F.lit(wanted / total) + _unit(F.lit(salt), "doc_id", "place"))
     sample = rows.select("place", drawn.alias("weight")).filter("weight > 0")
     lines = sorted((r.place, r.weight) for r in sample.groupBy("place").agg(F.sum("weight").alias("weight")).collect())
     weight, bounds, seen = sum(w for _, w in lines), [], 0
     for place, w in lines:
         seen += w
-        while len(bounds) < count and seen * (count + 1) > (len(bounds) + 1) * weight:
+        while len(bounds) < ways and seen * (ways + 1) > (len(bounds) + 1) * weight:
             bounds.append(place)
     return sorted(set(bounds))
 
@@ -63,7 +65,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     ranges = shards * RANGES_PER_SHARD
     bounds = _snap(_splitters(rows, ranges - 1, total, 1))
     limit = OVERFULL * total / ranges
-    for salt in range(2, 10):
+    for salt in count(2):  # ends: each round adds boundaries between places, or stops
         full = [r for r in _ranged(rows, bounds).groupBy("range").agg(F.sum("size").alias("size"), F.count_distinct("place").alias("places")).collect() if r["size"] > limit and r.places > 1]
         more: set[int] = set()
         for r in full:
