@@ -192,7 +192,14 @@ def keyed_digest(seed: str | int, *parts: Column) -> Column:
 
 
 def keyed_digest_of(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
+    return F.sha2(joined_parts(*parts), 256)
+
+
+def joined_parts(*parts: Column) -> Column:
+    r"""``part|part...`` as a string that tells all lists of parts apart: ``\`` and ``|`` inside a part are preceded by ``\``,
+    and null is ``\N``, which no part becomes."""
+    escaped = lambda p: F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", *[F.coalesce(escaped(p), F.lit("\\N")) for p in parts])
 
 
 def digest_int(digest: Column, start: int, digits: int = 15) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -450,6 +451,53 @@ def row_split_leakage(rows: DataFrame, row_key: Sequence[str], repeats: int, see
     return _leakage(per_unit, ["repetition"])
 
 
+def _falling(of: Column, among: Column, k: Column) -> Column:
+    """Chance that k rows drawn from ``among`` without replacement all come from ``of`` of them."""
+    steps = F.sequence(F.lit(0).cast("bigint"), k - 1)
+    log = F.aggregate(steps, N(0), lambda t, i: t + F.log((of - i) / (among - i)))
+    return F.when(k == 0, N(1)).when(of < k, N(0)).otherwise(F.exp(log))
+
+
+def expected_row_leakage(rows: DataFrame, shares: Sequence[float] = (0.70, 0.15), unit: str = UNIT) -> DataFrame:
+    """Mean and deviation, over all row-level splits of the exact sizes, of the number of units that lie in several splits.
+
+    One line: rows, units, expected, deviation. ``shares`` are rounded to rows, what is left is one more split. Nothing is
+    drawn: a unit's chance to stay whole depends on its number of rows alone, and a pair's on both numbers, so all follows
+    from the histogram of sizes. A unit larger than ``most`` rows stays whole with a chance below the least double, hence
+    pairs are only formed of sizes up to ``most`` (some 2,100 for a share of 0.7), however large the hottest unit. Null
+    units take no part. Without rows the values are null.
+    """
+    top = max([*shares, 1 - sum(shares)])
+    most = math.ceil(-745 / math.log(top)) if 0 < top < 1 else None
+    if most is None:
+        raise ValueError("shares must leave at least two splits")
+    sizes = rows.filter(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+    total = sizes.agg(F.sum(F.col("k") * F.col("c")).alias("n"), F.sum("c").alias("units"))
+    cuts = [F.rint(N(s) * F.col("n")).cast("bigint") for s in shares]
+    total = total.withColumn("splits", F.array(*cuts, F.col("n") - sum(cuts[1:], cuts[0])))
+    live = sizes.filter(F.col("k") <= most).withColumn("_t", total.select(F.struct("n", "splits")).scalar()).select("k", "c", "_t.*")
+    live = live.withColumn("a", F.transform("splits", lambda m: _falling(m, F.col("n"), F.col("k"))))
+    plus = lambda xs: F.aggregate(xs, N(0), lambda t, x: t + x)
+    live = live.withColumn("p", plus(F.col("a")))
+    others = live.select(F.struct(F.col("k").alias("j"), F.col("c").alias("d"), F.col("a").alias("b"), F.col("p").alias("q")).alias("o")).agg(F.collect_list("o")).scalar()  # at most ``most`` sizes
+    pairs = live.withColumn("o", F.explode(others)).select("k", "c", "n", "splits", "a", "p", "o.*")
+    times = F.col("c") * (F.col("d") - (F.col("j") == F.col("k")).cast("bigint"))
+    pairs = pairs.withColumn("times", times).filter("times > 0")
+    rest = F.col("n") - F.col("k")  # once k rows of one unit are placed
+    same = F.transform(F.arrays_zip("splits", "a"), lambda z: z["a"] * _falling(z["splits"] - F.col("k"), rest, F.col("j")))
+    apart = F.transform(F.arrays_zip("splits", "a", "b"), lambda z: z["a"] * (F.col("q") - z["b"]))
+    # other splits lose nothing to the first unit, but are drawn from the rest
+    both = plus(same) + plus(apart) / _falling(rest, F.col("n"), F.col("j"))
+    spread = pairs.agg(F.sum(F.col("times") * (both - F.col("p") * F.col("q"))).alias("cov"))
+    sums = live.agg(F.sum(F.col("c") * F.col("p")).alias("whole"), F.sum(F.col("c") * F.col("p") * (N(1) - F.col("p"))).alias("own"))
+    packed = total.withColumns({"_s": sums.select(F.struct("whole", "own")).scalar(), "_v": spread.scalar()})
+    some = F.col("n").isNotNull()
+    variance = F.greatest(F.coalesce(F.col("_s.own"), N(0)) + F.coalesce(F.col("_v"), N(0)), N(0))
+    return packed.select(
+        F.coalesce("n", F.lit(0)).alias("rows"), F.coalesce("units", F.lit(0)).alias("units"),
+        F.when(some, F.col("units") - F.coalesce(F.col("_s.whole"), N(0))).alias("expected"), F.when(some, F.sqrt(variance)).alias("deviation"))
+
+
 def variable_register(df: DataFrame, guidance: DataFrame, default: dict[str, str]) -> DataFrame:
     """Every column with its dictionary entry, or the default for unknown columns."""
     columns = df.sparkSession.createDataFrame([(c,) for c in df.columns], "variable string")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 UNIT, SIDE = "unit_id", "side"
 
 
-def pair_wide(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = (), unit: str = UNIT, side: str = SIDE) -> DataFrame:
+def pair_wide(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = (), unit: str = UNIT, side: str = SIDE, strict: bool = False) -> DataFrame:
     """One line per unit that has exactly one row on each side; each value becomes ``value_r`` and ``value_l``.
 
     One aggregation with map-side partials instead of a self-join: a unit that holds a large share of the rows is
     folded before the shuffle, and repeated sides can never multiply. Numeric values keep it a hash aggregation.
+    Other units are left out; with ``strict`` the first one met fails the query and is named.
     """
     right, left = F.col(side) == 1, F.col(side) == 2
     picks = []
@@ -23,7 +24,11 @@ def pair_wide(rows: DataFrame, values: Sequence[str], keys: Sequence[str] = (),
     counted = rows.groupBy(*keys, unit).agg(
         F.count("*").alias("_rows"), F.count_if(right).alias("_right"), F.count_if(left).alias("_left"), *picks
     )
-    return counted.filter("_rows = 2 AND _right = 1 AND _left = 1").drop("_rows", "_right", "_left")
+    whole = (F.col("_rows") == 2) & (F.col("_right") == 1) & (F.col("_left") == 1)
+    if strict:
+        told = F.concat(F.lit("unit without exactly one row a side: "), F.coalesce(F.col(unit).cast("string"), F.lit("null")))
+        whole = F.when(whole, True).otherwise(F.raise_error(told).cast("boolean"))
+    return counted.filter(whole).drop("_rows", "_right", "_left")
 
 
 def pair_sides(pairs: DataFrame, values: Sequence[str], carry: Sequence[str] = (UNIT,)) -> DataFrame:

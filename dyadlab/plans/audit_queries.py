@@ -380,6 +380,20 @@ def row_split_leakage(spark, folder):
     return rounded(leakage(spark, folder))
 
 
+WHOLE = "(CASE WHEN {m} < {k} THEN 0 ELSE EXP(COALESCE(LIST_SUM(LIST_TRANSFORM(RANGE(0, {k}), lambda i: LN(CAST({m} - i AS DOUBLE) / ({n} - i)))), 0)) END)"
+
+
+@query("expected_row_leakage", SRC + f""", h AS (SELECT k, COUNT(*) AS c FROM (SELECT COUNT(*) AS k FROM src GROUP BY unit_id) GROUP BY k),
+t AS (SELECT CAST(SUM(k * c) AS BIGINT) AS n, CAST(SUM(c) AS BIGINT) AS units FROM h), e AS (SELECT n, units, CAST(ROUND_EVEN(0.7 * n, 0) AS BIGINT) AS m1, CAST(ROUND_EVEN(0.15 * n, 0) AS BIGINT) AS m2 FROM t),
+s AS (SELECT 1 AS s, m1 AS m, n FROM e UNION ALL SELECT 2, m2, n FROM e UNION ALL SELECT 3, n - m1 - m2, n FROM e),
+a AS (SELECT h.k, h.c, s.s, s.m, s.n, {WHOLE.format(m='s.m', k='h.k', n='s.n')} AS a FROM h, s), p AS (SELECT k, c, SUM(a) AS p FROM a GROUP BY k, c),
+b AS (SELECT x.k, y.k AS j, SUM(CASE WHEN x.s = y.s THEN {WHOLE.format(m='x.m', k='(x.k + y.k)', n='x.n')} ELSE x.a * y.a / {WHOLE.format(m='(x.n - x.k)', k='y.k', n='x.n')} END) AS b FROM a x, a y GROUP BY x.k, y.k),
+v AS (SELECT SUM(x.c * (y.c - CASE WHEN x.k = y.k THEN 1 ELSE 0 END) * (b.b - x.p * y.p)) AS v FROM b JOIN p x ON x.k = b.k JOIN p y ON y.k = b.j)
+SELECT MAX(n) AS rows, MAX(units) AS units, ROUND(MAX(units) - SUM(c * p), 6) AS expected, ROUND(SQRT(SUM(c * p * (1 - p)) + MAX(v)), 4) AS deviation FROM p, e, v""")
+def expected_row_leakage(spark, folder):
+    return A.expected_row_leakage(source(spark, folder)).withColumns({"expected": F.round("expected", 6), "deviation": F.round("deviation", 4)})
+
+
 @query("split_leakage", SRC + f""", u AS (SELECT unit_id, COUNT(*) AS n, COUNT(DISTINCT device) AS s FROM src GROUP BY unit_id) SELECT {LEAK_COLS} FROM u""")
 def split_leakage(spark, folder):
     return rounded(A.split_leakage(source(spark, folder), "device"))
