@@ -82,3 +82,48 @@ def test_reproduction_check(spark):
     assert B.reproduction_check(a, a, ["endpoint"], ["r"]).first()["reproduced"]
     assert not B.reproduction_check(a, b, ["endpoint"], ["r"]).first()["reproduced"]
     assert K is not None
+
+
+def test_draws_are_never_broadcast(spark, monkeypatch):
+    """Above the old limit of a lookup by broadcast, Spark took the exploded draws for a small table and sent them to the driver."""
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
+    values = spark.createDataFrame([("e", i, float(i)) for i in range(3000)], "endpoint string, unit_id int, v double")
+    found = B.bootstrap_means(values, "v", 50, [7])
+    assert found.count() == 50
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in plan[i + 1:]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            assert not any("Generate" in other for other in below)
+
+
+def test_ranges_and_slices_do_not_change_the_means(spark, monkeypatch):
+    import math
+
+    for name, size in (("RANGE", 4), ("SLICE", 3), ("CHUNK", 2)):
+        monkeypatch.setattr(B, name, size)
+    x = {"a": [0.5 * i * i for i in range(21)], "b": [float(i) for i in range(21)], "c": [1.0, 2.5, 4.0], "d": [None, 2.0, 3.0], "f": [math.inf, 1.0, 2.0]}
+    lines = [(k, i, v) for k, vs in x.items() for i, v in enumerate(vs)]
+    got = {(r["endpoint"], r["seed"], r["replicate"]): r["mean"] for r in B.bootstrap_means(spark.createDataFrame(lines, "endpoint string, unit_id int, v double"), "v", 10, [7, 8]).collect()}
+    assert len(got) == 5 * 2 * 10
+    for (k, seed, b), mean in got.items():
+        taken = [x[k][i] for i in draw(seed, b, len(x[k])) if x[k][i] is not None]
+        assert mean is None if not taken else mean == pytest.approx(sum(taken) / len(taken), abs=1e-12)
+
+
+def test_weighted_cluster_bootstrap_equals_copies(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from dyadlab.operators import ranking as R
+
+    monkeypatch.setattr(B, "RANGE", 8)
+    monkeypatch.setattr(B, "SLICE", 5)
+    rows = spark.createDataFrame([("e", str(i // 2), i % 2 + 1, i * 7 % 5 % 2, (i * 13 % 17) / 17) for i in range(60)], "endpoint string, unit_id string, side int, label int, prob double")
+    copied = B.cluster_bootstrap(rows, lambda df, keys: R.binary_ranking(df, F.col("label"), "prob", keys), "auroc", 12, 3).first()
+    weighted = B.cluster_bootstrap(rows, lambda df, keys: R.binary_ranking(df, F.col("label"), "prob", keys, "w"), "auroc", 12, 3, weight="w").first()
+    assert weighted == copied and weighted["valid_replicates"] == 12 and weighted["units"] == 30
