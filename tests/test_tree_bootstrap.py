@@ -162,3 +162,12 @@ def test_ranking_without_keys(spark, small):
     keyed = {r["replicate"]: r["auroc"] for r in R.replicate_statistics(fine, "y", "s", 25, 9).collect()}
     plain = {r["replicate"]: r["auroc"] for r in R.replicate_statistics(fine.drop("endpoint"), "y", "s", 25, 9, keys=()).collect()}
     assert plain.keys() == keyed.keys() and all(plain[b] == pytest.approx(v, abs=1e-12) for b, v in keyed.items())
+
+
+def test_groups_of_slices_do_not_change_the_statistics(spark, small, monkeypatch):
+    _, df = ranked_rows(spark)
+    want = {(r["endpoint"], r["replicate"]): r for r in R.replicate_statistics(df, "y", "s", 45, 9).collect()}
+    monkeypatch.setattr(R, "STORED_WEIGHTS", 1)  # a slice at a time lies on disk
+    got = {(r["endpoint"], r["replicate"]): r for r in R.replicate_statistics(df, "y", "s", 45, 9).collect()}
+    assert got.keys() == want.keys() and len(got) == 90
+    assert all(got[k]["auroc"] == pytest.approx(r["auroc"], abs=1e-12) and got[k]["average_precision"] == pytest.approx(r["average_precision"], abs=1e-12) for k, r in want.items())
