@@ -59,7 +59,8 @@ def canonical_order(spark, folder):
     """Row numbers in the canonical order: numeric ids first, then text ids, then side."""
     text = F.col(UNIT).cast("string")
     rows = source(spark, folder).select(F.when(F.col(UNIT) % 10 == 3, F.concat(F.lit("x"), text)).otherwise(text).alias("key"), "side", "l_partkey", "l_suppkey", "price")
-    ordered = positions(rows, [*S.numeric_first(F.col("key")), "side", "l_partkey", "l_suppkey", "price"])
+    numbered = rows.withColumn("_number", S.whole_number(F.col("key")))
+    ordered = positions(numbered, [F.col("_number").asc_nulls_last(), "key", "side", "l_partkey", "l_suppkey", "price"])
     return ordered.select("key", "side", "l_partkey", "l_suppkey", "price", (F.col("pos") + 1).alias("position"))
 
 

@@ -81,3 +81,12 @@ def test_hash_rank_and_cuts_agree_with_full_sort(skewed):
     assert set(cuts) == {"hot", "a"}
     assert (frame[frame["g"] == "hot"]["digest"] <= cuts["hot"]).sum() == 1000
     assert (frame[frame["g"] == "a"]["digest"] <= cuts["a"]).sum() == 1
+
+
+def test_whole_number_is_the_cast_without_its_failures(spark):
+    from dyadlab.functions import scalars as S
+
+    texts = ["12", " 7 ", "-3", "+4", "x12", "1x", "1.5", "", " ", "99999999999999999999", "\t8\n", "1e3", None, "é", "--1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(S.whole_number(F.col("t")).alias("a"), F.col("t").try_cast("bigint").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and sum(r["a"] is not None for r in got) == 5
