@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, hash_cuts
@@ -15,6 +17,7 @@ from dyadlab.operators.pairs import SIDE, UNIT
 N = S.number
 BINARY = (0, 1)
 QUALITY = (S.NORMAL, S.ABNORMAL)
+BRACKET_DEVIATIONS = 5  # reach of the bracket in which a digest is looked for; it steers costs, never what is found
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column_name", value: str = "raw") -> DataFrame:
@@ -429,25 +432,60 @@ def _leakage(per_unit: DataFrame, keys: Sequence[str]) -> DataFrame:
         "fraction_all": S.safe_ratio(F.col("units_in_several"), F.col("units")), "fraction_repeated": S.safe_ratio(F.col("units_in_several"), F.col("repeated_units"))})
 
 
+def _digest_cuts(digests: DataFrame, repeats: int, n: int, targets: dict[str, int]) -> dict[tuple[int, str], str]:
+    """Digest of the k-th of the n rows in order of ``_digest0``, ``_digest1``, ..., for each target k above 0, by (repeat, target).
+
+    Digests are uniform, so the k-th lies within a few standard deviations of the share k / n, unless row keys repeat. One pass
+    counts what lies below these brackets, one folds what lies in them; a bracket that misses its row is replaced by ``hash_cuts``.
+    """
+    def bound(share: float) -> str:
+        return "g" if share >= 1 else format(int(max(share, 0.0) * 16**13), "013x")  # "g" is above all digests
+
+    brackets = {}
+    for name, k in targets.items():
+        reach = BRACKET_DEVIATIONS * (k * max(n - k, 0) / n) ** 0.5 + 1 if n else 0
+        if k > 0:
+            brackets |= {(r, name): (k, bound((k - reach) / n), bound((k + reach) / n)) for r in range(repeats)}
+    if not brackets:
+        return {}
+    below = digests.agg(*[F.count_if(F.col(f"_digest{r}") < low).alias(f"{r}/{name}") for (r, name), (_, low, _) in brackets.items()]).first()
+    inside = lambda r, low, high: (F.col(f"_digest{r}") >= low) & (F.col(f"_digest{r}") < high)
+    held = [F.when(inside(r, low, high), F.struct(
+        F.lit(r).alias("r"), F.lit(name).alias("name"), F.lit(k - below[f"{r}/{name}"]).alias("nth"), F.col(f"_digest{r}").alias("digest"))) for (r, name), (k, low, high) in brackets.items()]
+    # no filter before the lines are made: it would move below the digests and make each of them anew for every bracket
+    near = digests.select(F.explode(F.array(*held)).alias("_h")).filter("_h IS NOT NULL").select("_h.*").groupBy("r", "name", "nth", "digest").agg(F.count("*").alias("_n"))
+    upto = near.withColumn("_upto", F.sum("_n").over(Window.partitionBy("r", "name").orderBy("digest")))
+    cuts = {(x["r"], x["name"]): x["digest"] for x in upto.filter("nth BETWEEN _upto - _n + 1 AND _upto").collect()}  # a digest a target
+    missed = [x for x in brackets if x not in cuts]
+    if missed:
+        drawn = digests.select(F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"_digest{r}").alias("digest")) for r in sorted({r for r, _ in missed})])).alias("_d")).select("_d.*")
+        wanted = digests.sparkSession.createDataFrame([(r, name, targets[name]) for r, name in missed], "r int, name string, k bigint")
+        cuts |= {(x["r"], x["name"]): x["cut"] for x in hash_cuts(drawn, "digest", wanted, ["r"], "name").collect()}
+    return cuts
+
+
 def row_split_leakage(rows: DataFrame, row_key: Sequence[str], repeats: int, seed: int, shares: tuple[float, float] = (0.70, 0.15), unit: str = UNIT) -> DataFrame:
     """What a row-level split would do to units, over repeated hash-ordered splits of exact sizes.
 
-    Splits are found from two cut digests per repeat, so no repeat is sorted as a whole.
+    Splits are found from two cut digests per repeat, so no repeat is sorted as a whole and no digest is shuffled.
     """
-    # spread before the repeats multiply the work; the three passes below then reuse this exchange of narrow keys
-    keyed = rows.filter(F.col(unit).isNotNull()).select(unit, *[c for c in row_key if c != unit]).hint("rebalance")
-    drawn = keyed.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(
-        "repetition", unit, S.keyed_digest(seed, F.col("repetition"), *[F.col(c) for c in row_key]).alias("digest"))
-    first, second = (F.rint(N(share) * F.col("_n")).cast("bigint") for share in shares)
-    sizes = drawn.groupBy("repetition").agg(F.count("*").alias("_n"))
-    targets = sizes.select("repetition", F.explode(F.array(
-        F.struct(F.lit("train").alias("split"), first.alias("k")), F.struct(F.lit("validation").alias("split"), (first + second).alias("k")))).alias("_t")).select("repetition", "_t.*")
-    cuts = hash_cuts(drawn, "digest", targets, ["repetition"], "split")
-    wide = cuts.groupBy("repetition").agg(
-        F.max(F.when(F.col("split") == "train", F.col("cut"))).alias("c1"), F.max(F.when(F.col("split") == "validation", F.col("cut"))).alias("c2"))
-    part = F.when(F.col("digest") <= F.col("c1"), 0).when(F.col("digest") <= F.col("c2"), 1).otherwise(2)
-    placed = drawn.join(F.broadcast(wide), "repetition").withColumn("split", part)  # one line per repeat
-    per_unit = placed.groupBy("repetition", unit).agg(F.count("*").alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
+    whole = rows.filter(F.col(unit).isNotNull())
+    numbers = [i for i, c in enumerate(row_key) if isinstance(rows.schema[c].dataType, NumericType)]
+    # the text that is digested is made once a row, and spread before the repeats multiply the work
+    keyed = whole.select(unit, S.joined_parts(*[F.col(c) for c in row_key], numbers=numbers).alias("_key")).hint("rebalance")
+    digest = lambda r: F.sha2(F.concat(S.joined_parts(F.lit(str(seed)), r), F.lit("|"), F.col("_key")), 256)
+    digests = keyed.select(unit, *[digest(F.lit(r)).alias(f"_digest{r}") for r in range(repeats)])
+    n = whole.count()
+    first, second = (round(share * n) for share in shares)
+    cuts = _digest_cuts(digests, repeats, n, {"train": first, "validation": first + second})
+    at = lambda r, split: F.col(f"_digest{r}") <= F.lit(cuts.get((r, split), ""))
+    split_of = lambda r: F.when(at(r, "train"), 1).when(at(r, "validation"), 2).otherwise(4)
+    # a unit is one line for all repeats: three bits a repeat say which splits it lies in
+    words = [range(i, min(i + 20, repeats)) for i in range(0, repeats, 20)]
+    seen = [F.bit_or(reduce(Column.bitwiseOR, [F.shiftleft(split_of(r).cast("bigint"), 3 * (r % 20)) for r in word])).alias(f"_seen{i}") for i, word in enumerate(words)]
+    units = digests.groupBy(unit).agg(F.count("*").alias("n"), *seen)
+    of = lambda r: F.bit_count(F.shiftrightunsigned(f"_seen{r // 20}", 3 * (r % 20)).bitwiseAND(F.lit(7)))
+    per_unit = units.select("n", F.explode(F.array(*[F.struct(F.lit(r).alias("repetition"), F.lit(1).alias("lo"), of(r).alias("hi")) for r in range(repeats)])).alias("_u")).select("n", "_u.*")
     return _leakage(per_unit, ["repetition"])
 
 
