@@ -4,8 +4,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+import dyadlab.session as session
 from dyadlab.operators import audit as A
 from dyadlab.operators.ordering import hash_cuts
+from dyadlab.operators.pairs import missing_keys
 
 
 def _plan(df):
@@ -46,3 +48,12 @@ def test_row_splits_equal_sorted_digests(spark):
 def test_row_splits_send_a_line_a_unit(spark):
     df = spark.range(600).select((F.col("id") % 50).alias("unit_id"), F.col("id").alias("row"))
     assert "repetition" not in _plan(A.row_split_leakage(df, ["row"], 4, 1)).split("Aggregate [unit_id")[1]
+
+
+def test_null_keys_of_both_sides_are_equal_and_partitions_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    left, right = (spark.createDataFrame([(None,), *((i,) for i in span)], "k int") for span in (range(0, 4000), range(10, 4010)))
+    found = missing_keys(left, right, ["k"])
+    assert {tuple(r) for r in found.collect()} == {(i, "left_only") for i in range(10)} | {(i, "right_only") for i in range(4000, 4010)}
+    assert {r["k"] for r in missing_keys(left, right, ["k"], both=False).collect()} == set(range(10))
+    assert "RepartitionByExpression [k" in _plan(found) and ", 81" in _plan(found)
