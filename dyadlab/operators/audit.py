@@ -13,6 +13,7 @@ from pyspark.sql.types import NumericType
 from dyadlab.functions import scalars as S
 from dyadlab.operators.ordering import exact_quantiles, hash_cuts
 from dyadlab.operators.pairs import SIDE, UNIT
+from dyadlab.session import dealt
 
 N = S.number
 BINARY = (0, 1)
@@ -170,11 +171,19 @@ def _label_lines(df: DataFrame, labels: Sequence[str], keep: Sequence[str]) -> D
 
 
 def label_summary(df: DataFrame, labels: Sequence[str], unit: str = UNIT) -> DataFrame:
-    """Label totals; units are folded first, so positive units need no distinct count."""
-    per_unit = _label_lines(df, labels, [unit]).groupBy("label_name", unit).agg(
-        F.count_if("ok").alias("ok"), F.count_if("positive").alias("pos"),
-        F.count_if(~F.col("known")).alias("gone"), F.count_if(F.col("known") & ~F.col("ok")).alias("odd"))
-    table = per_unit.groupBy("label_name").agg(
+    """Label totals; units are folded first, all labels of a unit in one line, so positive units need no distinct count."""
+    texts = dealt(df.select(unit, *[F.col(c).cast("string").alias(f"_label{i}") for i, c in enumerate(labels)]), unit)
+    counts = []
+    for i in range(len(labels)):
+        raw = F.col(f"_label{i}")
+        ok = S.in_domain(raw, BINARY)
+        counts += [
+            F.count_if(ok).alias(f"_ok{i}"), F.count_if(ok & (S.lenient_number(raw) == 1)).alias(f"_pos{i}"),
+            F.count_if(raw.isNull()).alias(f"_gone{i}"), F.count_if(raw.isNotNull() & ~ok).alias(f"_odd{i}")]
+    per_unit = texts.groupBy(unit).agg(*counts)
+    lines = per_unit.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("label_name"), *[F.col(f"_{k}{i}").alias(k) for k in ("ok", "pos", "gone", "odd")]) for i, c in enumerate(labels)])).alias("_u")).select("_u.*")
+    table = lines.groupBy("label_name").agg(
         F.sum("ok").alias("evaluable"), F.sum("pos").alias("positive"), F.sum(F.col("ok") - F.col("pos")).alias("negative"),
         F.sum("gone").alias("missing"), F.sum("odd").alias("unexpected"), F.count_if(F.col("pos") > 0).alias("positive_units"))
     return table.withColumn("prevalence", S.safe_ratio(F.col("positive"), F.col("evaluable")))

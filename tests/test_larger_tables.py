@@ -57,3 +57,11 @@ def test_null_keys_of_both_sides_are_equal_and_partitions_follow_rows(spark, mon
     assert {tuple(r) for r in found.collect()} == {(i, "left_only") for i in range(10)} | {(i, "right_only") for i in range(4000, 4010)}
     assert {r["k"] for r in missing_keys(left, right, ["k"], both=False).collect()} == set(range(10))
     assert "RepartitionByExpression [k" in _plan(found) and ", 81" in _plan(found)
+
+
+def test_labels_are_folded_in_partitions_that_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 50)
+    df = spark.range(4000).select((F.col("id") % 1000).alias("unit_id"), (F.col("id") % 2).cast("string").alias("a"), F.when(F.col("id") < 10, "x").alias("b"))
+    found = A.label_summary(df, ["a", "b"])
+    assert ", 80" in _plan(found)
+    assert {tuple(r) for r in found.collect()} == {("a", 4000, 2000, 2000, 0, 0, 500, 0.5), ("b", 0, 0, 0, 3990, 10, 0, None)}
