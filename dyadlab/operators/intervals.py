@@ -12,6 +12,7 @@ from dyadlab.operators.pairs import UNIT
 from dyadlab.operators.resample import bca_interval
 from dyadlab.operators.risk import square
 from dyadlab.operators.tree_bootstrap import within
+from dyadlab.session import PART_ROWS, dealt
 
 KEYS = ["family", "endpoint", "level"]
 SPARSE_BELOW = 10
@@ -26,7 +27,7 @@ def stratum_units(rows: DataFrame, first: str, second: str, qualities: Sequence[
 
     Families: ``contrast`` (levels nll, brier, mae), ``state``, ``quality`` (own level), ``direction`` (own x partner), ``device`` (pair of
     devices), all of the gain of the augmented loss model; ``asymmetry`` and ``oriented`` (score differences by state). One row
-    makes all its lines, and one aggregation folds a unit's rows, so the strata cost a single shuffle.
+    makes all its lines where the rows of its unit are, so the strata cost a single shuffle of the rows, whose partitions follow their number.
     """
     gain = lambda t, f: f(F.col(t) - F.col(f"predicted_{t}_r0")) - f(F.col(t) - F.col(f"predicted_{t}_r1"))
     nll, right = gain("nll", square), F.col("side") == 1
@@ -41,7 +42,9 @@ def stratum_units(rows: DataFrame, first: str, second: str, qualities: Sequence[
         _line("asymmetry", state, gap),
         _line("oriented", F.when(state.isin("10", "01"), state), F.when(state == "10", gap).when(state == "01", -gap)),
     ]
-    long = rows.select("endpoint", UNIT, F.explode(F.array(*lines)).alias("_l")).select("endpoint", UNIT, "_l.*").filter("level IS NOT NULL")
+    used = ["side", "label", "partner_label", "z", "partner_z", "device", "partner_device", "nll", *[f"predicted_{t}_{r}" for t in ("nll", "brier") for r in ("r0", "r1")], "brier", *qualities, *[f"partner_{q}" for q in qualities]]
+    spread = dealt(rows.select("endpoint", UNIT, *used), UNIT, rows=PART_ROWS // len(lines))
+    long = spread.select("endpoint", UNIT, F.explode(F.array(*lines)).alias("_l")).select("endpoint", UNIT, "_l.*").filter("level IS NOT NULL")
     return long.groupBy(*KEYS, UNIT).agg(F.avg("value").alias("value"))
 
 

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 import dyadlab.session as session
 from dyadlab.operators import audit as A
+from dyadlab.operators import intervals as I
+from dyadlab.operators import tree_bootstrap as T
 from dyadlab.operators.ordering import hash_cuts
 from dyadlab.operators.pairs import missing_keys
+from dyadlab.plans.views import FIRST_DEVICE, SECOND_DEVICE, predictions
 
 
 def _plan(df):
@@ -65,3 +68,15 @@ def test_labels_are_folded_in_partitions_that_follow_rows(spark, monkeypatch):
     found = A.label_summary(df, ["a", "b"])
     assert ", 80" in _plan(found)
     assert {tuple(r) for r in found.collect()} == {("a", 4000, 2000, 2000, 0, 0, 500, 0.5), ("b", 0, 0, 0, 3990, 10, 0, None)}
+
+
+def test_strata_and_blocks_lie_in_partitions_that_follow_rows(spark, monkeypatch):
+    rows = predictions(spark, "/root/testdata/sf0.001")
+    usual = I.stratum_units(rows, FIRST_DEVICE, SECOND_DEVICE).collect()
+    monkeypatch.setattr(I, "PART_ROWS", 110)
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    units = I.stratum_units(rows, FIRST_DEVICE, SECOND_DEVICE)
+    assert f", {-(-rows.count() // 10)}" in _plan(units)
+    assert [(*r[:4], round(r["value"], 12)) for r in sorted(units.collect())] == [(*r[:4], round(r["value"], 12)) for r in sorted(usual)]
+    marked, tree = T.grow(units, [])
+    assert T.laid_out(marked, tree).rdd.getNumPartitions() == -(-len(usual) // 100)
