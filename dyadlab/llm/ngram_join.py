@@ -341,22 +341,33 @@ def _open_lines(filed: DataFrame, label: DataFrame, member: DataFrame) -> DataFr
     left = left.join(open_keys, "key")
     # the smallest plain keys of each class; bounded by the keys of one document
     first = left.filter(F.col("role") == PLAIN).groupBy(F.col("rep").alias("of")).agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+    # and the smallest contents (PROBE) of each class by step; where a repeated id makes its lines tell different things, none
+    alike = (F.min("part") == F.max("part")) & (F.min("n") == F.max("n"))
+    contents = F.slice(F.sort_array(F.collect_set(F.when(F.col("role") == PROBE, F.col("key")))), 1, FIRST_KEYS)
+    first_step = left.filter(F.col("role") != PLAIN).groupBy(F.col("rep").alias("of"), F.col("step").alias("of_step")).agg(F.when(alike, contents).alias("first_step"))
+    none = F.array().cast("array<bigint>")
     told = left.join(short, left.rep == short.of).drop("of")
-    return told.join(first, told.rep == first.of, "left").drop("of").withColumn("first", F.coalesce("first", F.array().cast("array<bigint>")))
+    told = told.join(first, told.rep == first.of, "left").drop("of").withColumn("first", F.coalesce("first", none))
+    stepped = told.join(first_step, (told.rep == first_step.of) & (told.step == first_step.of_step) & (told.role != PLAIN), "left").drop("of", "of_step")
+    return stepped.withColumn("first_step", F.coalesce("first_step", none))
 
 
 def _open_pairs(left: DataFrame, stars: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that meet under an open key, can be linked and have not been tried.
 
     Two classes may share many keys. Of the keys that both have among their first plain ones, only the smallest forms their
-    pair: elsewhere each line knows which of them came ``before``, and a common one means that the pair exists. Classes
+    pair: elsewhere each line knows which of them came ``before``, and a common one means that the pair exists. So it is with
+    the first contents of a step: a pair belongs to one step, and where both hold a content of it their pair is formed. Classes
     without such a key meet under each that they share, so no pair is lost whatever FIRST_KEYS is."""
     before = F.when(F.col("role") == PLAIN, F.filter("first", lambda k: k < F.col("key"))).otherwise(F.col("first"))
-    left = left.withColumn("before", before).drop("first")
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component", "before")])
+    before_step = F.when(F.col("role") == PROBE, F.filter("first_step", lambda k: k < F.col("key"))).otherwise(F.col("first_step"))
+    left = left.withColumns({"before": before, "before_step": before_step}).drop("first", "first_step")
+    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component", "before", "before_step")])
     left_over = _allowance()
     met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
     flips = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
     met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True)) & ~F.arrays_overlap("before", "before2")
+    # a plain line has no step and its list is empty
+    met = met & ~F.arrays_overlap("before_step", "before_step2")
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2") & met)
     return rest.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
