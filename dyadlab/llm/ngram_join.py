@@ -29,6 +29,8 @@ BUCKETS = 64  # of the table of candidate texts
 PARITY_BITS = 2048  # kept beside a text
 SHORT_PARITY_BITS = 256  # of each set, carried by the lines of keys that stay open
 FIRST_KEYS = 8  # smallest open keys of each class, carried so that a pair is not formed again under its later keys
+CROWD = 64  # classes under an open key from which it takes part in further rounds of single tries
+YIELD = 8  # another round follows while one of so many tries links
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -254,8 +256,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     Documents with equal sets are one class, represented by its smallest id, before any pair is formed. Representatives
     are filed under their signatures; keys held by one class only are dropped. First each key links its classes to its
     smallest one and each class tries the one it shares most keys with (one pair per class), which joins a group of near
-    copies without forming its pairs. Then every pair of classes that share a key and are not yet in one component is
-    verified, whatever the key's size: no partner is capped, so components are exact. Documents without words are linked with nothing. Null ids are left out;
+    copies without forming its pairs. Where crowded keys stay open, rounds follow in which each class tries one other, while
+    they link. Then every pair of classes that share a key and are not yet in one component is verified, whatever the key's
+    size: no partner is capped, so components are exact, and rounds only spare pairs that need no proof any more. Documents without words are linked with nothing. Null ids are left out;
     rows that repeat an id are one document that links by any of its texts.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -293,6 +296,7 @@ def _links(docs: DataFrame, shelf: Shelf, candidates: str) -> tuple[DataFrame, D
     tried = shelf.put(_verified(_possible(stars, texts, sizes), texts))
     links = tried.filter("linked").select("a", "b")
     label = cut(components(links))
+    label, links = _rounds(filed, label, links, member, texts, sizes, shelf)
     left = shelf.put(_open_lines(filed, label, member))
     shelf.drop(filed)
     rest = shelf.put(_open_pairs(left, stars))
@@ -332,12 +336,64 @@ def _stars(filed: DataFrame) -> DataFrame:
     return stars.groupBy("rep").agg(F.max_by("low", F.struct("votes", -F.col("low"))).alias("low")).select(F.col("low").alias("a"), F.col("rep").alias("b"))
 
 
+def _labelled(filed: DataFrame, label: DataFrame) -> DataFrame:
+    return filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "step", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _short(member: DataFrame) -> DataFrame:
+    """(of, parity) of each class; a repeated id with two sets has no parity of its own, and its pairs go on to be verified."""
+    return member.groupBy(F.col("rep").alias("of")).agg(F.when(F.min("parity") == F.max("parity"), F.min("parity")).alias("parity"))
+
+
+def _flips() -> Column:
+    return sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
+
+
+def _crowded(filed: DataFrame, label: DataFrame, member: DataFrame) -> DataFrame:
+    """(key, rep, role, n, parity): the filed lines of keys under which many classes of several components meet."""
+    left = _labelled(filed, label)
+    crowds = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("lines")).filter((F.col("lo") < F.col("hi")) & (F.col("lines") >= CROWD)).select("key")
+    short = _short(member)
+    lines = left.join(crowds, "key").select("key", "rep", "role", "n")
+    return lines.join(short, lines.rep == short.of).drop("of")
+
+
+def _tries(lines: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b), one per class at most: each key names one of its classes, another one every ``turn``, and each class tries
+    the one that its parity is nearest to, of those in other components that it can be linked with."""
+    lines = lines.join(label, lines.rep == label.node, "left").select("key", "rep", "role", "n", "parity", F.coalesce("component", "rep").alias("component"))
+    told = F.when(F.col("role") != INDEX, F.struct(*[F.col(c).alias(f"{c}2") for c in ("rep", "n", "parity", "component")]))
+    order = F.when(F.col("role") != INDEX, F.xxhash64("rep", F.lit(turn)))
+    named = lines.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(told, order).alias("t")).filter("lo < hi AND t IS NOT NULL").select("key", "t.*")
+    near = lines.join(named, "key").filter((F.col("component") != F.col("component2")) & _fits("n", "n2")).withColumn("flips", F.coalesce(_flips(), F.lit(0))).filter(F.col("flips") * 7 <= F.col("n") + F.col("n2"))
+    best = near.groupBy("rep").agg(F.min(F.struct("flips", "rep2")).alias("t")).select("rep", "t.rep2")
+    return best.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
+def _rounds(filed: DataFrame, label: DataFrame, links: DataFrame, member: DataFrame, texts: DataFrame, sizes: DataFrame, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """(label, links) after rounds of tries under crowded keys. They join groups whose smallest class is not near to all, each
+    with pairs in proportion to its classes; what is found are links, and what is not found is left to :func:`_open_pairs`."""
+    lines, turn = shelf.put(_crowded(filed, label, member)), 0
+    while True:
+        pairs = shelf.put(_tries(lines, label, turn))
+        tried = pairs.count()
+        linked = 0
+        if tried:
+            found = shelf.put(_verified(_possible(pairs, texts, sizes), texts).filter("linked").select("a", "b"))
+            links, linked = links.unionByName(found), found.count()
+        if linked:
+            label = cut(components(links))
+        if linked * YIELD <= tried:
+            shelf.drop(lines)
+            return label, links
+        turn += 1
+
+
 def _open_lines(filed: DataFrame, label: DataFrame, member: DataFrame) -> DataFrame:
     """The filed lines of keys whose classes are not all in one component yet."""
-    left = filed.join(label, filed.rep == label.node, "left").select("key", "rep", "role", "part", "step", "n", F.coalesce("component", "rep").alias("component"))
+    left = _labelled(filed, label)
     open_keys = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    # a repeated id with two sets has no parity of its own, and its pairs go on to be verified
-    short = member.groupBy(F.col("rep").alias("of")).agg(F.when(F.min("parity") == F.max("parity"), F.min("parity")).alias("parity"))
+    short = _short(member)
     left = left.join(open_keys, "key")
     # the smallest plain keys of each class; bounded by the keys of one document
     first = left.filter(F.col("role") == PLAIN).groupBy(F.col("rep").alias("of")).agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
@@ -365,8 +421,7 @@ def _open_pairs(left: DataFrame, stars: DataFrame) -> DataFrame:
     other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("rep", "role", "part", "n", "parity", "component", "before", "before_step")])
     left_over = _allowance()
     met = (F.col("role") == PLAIN) | (F.col("role2") == PLAIN) | (((F.col("role") == PROBE) | (F.col("role2") == PROBE)) & (left_over >= 0) & (F.col("step") == F.when(left_over == 0, 0).otherwise(F.length(F.bin(left_over)))))
-    flips = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(SHORT_PARITY_BITS // 64))
-    met = met & F.coalesce(flips * 7 <= F.col("n") + F.col("n2"), F.lit(True)) & ~F.arrays_overlap("before", "before2")
+    met = met & F.coalesce(_flips() * 7 <= F.col("n") + F.col("n2"), F.lit(True)) & ~F.arrays_overlap("before", "before2")
     # a plain line has no step and its list is empty
     met = met & ~F.arrays_overlap("before_step", "before_step2")
     rest = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _fits("n", "n2") & met)

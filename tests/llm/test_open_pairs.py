@@ -21,3 +21,37 @@ def test_contents_that_tell_different_things_are_not_listed(spark):
     member = spark.createDataFrame([(7, 14, None, 7), (8, 14, None, 8)], "doc bigint, n bigint, parity array<bigint>, rep bigint")
     label = spark.createDataFrame([], "node bigint, component bigint")
     assert {(r["rep"], *r["first_step"]) for r in N._open_lines(filed, label, member).collect()} == {(7, 1, 2), (8,)}
+
+
+def test_a_round_tries_one_pair_a_class(spark):
+    parity = [0, 0, 0, 0]
+    lines = spark.createDataFrame([(k, rep, N.PROBE, 40, parity) for k in (1, 2, 3) for rep in range(20)] + [(4, 30, N.INDEX, 40, parity), (4, 31, N.INDEX, 40, parity)], "key bigint, rep bigint, role int, n bigint, parity array<bigint>")
+    label = spark.createDataFrame([], "node bigint, component bigint")
+    centres = set()
+    for turn in range(6):
+        pairs = [tuple(r) for r in N._tries(lines, label, turn).collect()]
+        assert len(pairs) == 19 and all(a < b for a, b in pairs)
+        (centre,) = set.intersection(*map(set, pairs))
+        centres.add(centre)
+    assert len(centres) > 1
+    joined = spark.createDataFrame([(i, 0) for i in range(20)], "node bigint, component bigint")
+    assert N._tries(lines, joined, 0).count() == 0
+
+
+def test_rounds_join_what_the_smallest_class_does_not(spark, monkeypatch):
+    """Two groups of near copies under the same frequent words: after the rounds few pairs are left, and components are exact."""
+    monkeypatch.setattr(N, "LEAST", 2)
+    monkeypatch.setattr(N, "HOT", 2)
+    monkeypatch.setattr(N, "CROWD", 4)
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    texts = [(1000 * g + i, " ".join(words("ab"[g])[:50] + words("c")[: 8 + i % 3] + [f"own{g}_{i}"])) for g in range(2) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    formed, seen = N._open_pairs, []
+    monkeypatch.setattr(N, "_open_pairs", lambda *a: seen.append(formed(*a)) or seen[-1])
+    monkeypatch.setattr(N, "_stars", lambda filed: filed.filter("false").select(N.F.col("low").alias("a"), N.F.col("rep").alias("b")))
+    pairs = []
+    kept = N.Shelf.put
+    monkeypatch.setattr(N.Shelf, "put", lambda self, df: (lambda out: pairs.append(out.count()) or out if seen and df is seen[-1] else out)(kept(self, df)))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_classes(docs).collect()}
+    assert got == {i: 1000 * (i // 1000) for i, _ in texts}
+    assert sum(pairs) < 48
