@@ -281,7 +281,9 @@ def _links(docs: DataFrame, shelf: Shelf, candidates: str) -> tuple[DataFrame, D
     member = shelf.put(_members(profile))
     levels = _levels(profile)
     shelf.drop(profile)
-    folded = shelf.put(_folded(docs, levels, member))
+    held = shelf.put(_held(docs, levels))
+    folded = shelf.put(_folded(held, member))
+    shelf.drop(held)
     filed = shelf.put(_filed(folded))
     sizes = shelf.put(folded.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n")))
     shelf.drop(folded)
@@ -311,14 +313,18 @@ def _members(profile: DataFrame) -> DataFrame:
     return sets.join(classes, ["n", "x", "y"], "left").select("doc", "n", "parity", F.coalesce("rep", "doc").alias("rep"))
 
 
-def _folded(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray], member: DataFrame) -> DataFrame:
-    """(key, rep, role, part, step, votes, n): the keys held by two documents or more, those of the same holders made one."""
+def _held(docs: DataFrame, levels: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, doc, role, part, step): the entries of keys held by two documents or more, keys of the same holders made one."""
     doc, bits = F.col("doc"), lambda at, width: F.pmod(F.shiftright("mark", at), F.lit(1 << width)).cast("int")
     under = Window.partitionBy("key")
     held = _entries(docs, levels).select("key", "doc", "mark", F.count(F.lit(1)).over(under).alias("holders"), F.sum(F.pmod(F.xxhash64(doc), F.lit(1 << 31))).over(under).alias("rough"), F.bit_xor(F.xxhash64(doc)).over(under).alias("group")).filter("holders > 1")
     # keys of a step held by the same documents are one: what counts is the group, and how many keys it shares
-    marked = held.select(F.xxhash64("holders", "rough", "group", bits(10, 6)).alias("key"), doc.alias("doc"), bits(0, 2).alias("role"), bits(2, 8).alias("part"), bits(10, 6).alias("step"))
-    shared = marked.groupBy("key", "doc").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.min("part").alias("part_low"), F.max("step").alias("step"), F.count(F.lit(1)).alias("votes"))
+    return held.select(F.xxhash64("holders", "rough", "group", bits(10, 6)).alias("key"), doc.alias("doc"), bits(0, 2).alias("role"), bits(2, 8).alias("part"), bits(10, 6).alias("step"))
+
+
+def _folded(held: DataFrame, member: DataFrame) -> DataFrame:
+    """(key, rep, role, part, step, votes, n): one line per key and class."""
+    shared = held.groupBy("key", "doc").agg(F.max("role").alias("role"), F.max("part").alias("part"), F.min("part").alias("part_low"), F.max("step").alias("step"), F.count(F.lit(1)).alias("votes"))
     # copies fold into their class; where a repeated id makes two sets one line, the steps say nothing and the key is plain
     folded = shared.join(member.select("doc", "n", "rep").distinct(), "doc").groupBy("key", "rep").agg(
         F.max("role").alias("role"), F.max("part").alias("part"), F.max("step").alias("step"), F.max("votes").alias("votes"), F.max("n").alias("n"),

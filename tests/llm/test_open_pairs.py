@@ -55,3 +55,12 @@ def test_rounds_join_what_the_smallest_class_does_not(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in N.near_classes(docs).collect()}
     assert got == {i: 1000 * (i // 1000) for i, _ in texts}
     assert sum(pairs) < 48
+
+
+def test_held_entries_are_stored_before_they_are_folded(spark, monkeypatch):
+    """The exchange of all entries is let go before those that are left are exchanged again."""
+    stored, put = [], N.Shelf.put
+    monkeypatch.setattr(N.Shelf, "put", lambda self, df: stored.append(df.columns) or put(self, df))
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "x y")], "doc_id bigint, text string")
+    assert {tuple(r) for r in N.near_classes(docs).collect()} == {(1, 4, 1), (2, 5, 1), (3, 1, 3)}
+    assert stored.index(["key", "doc", "role", "part", "step"]) < stored.index(["key", "rep", "role", "part", "step", "votes", "n"])
